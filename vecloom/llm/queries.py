@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import table
+from vecloom.llm.decontam import contamination
 from vecloom.llm.tokens import token_prefixes
 
 TOKEN_LIMIT = 512
@@ -17,5 +18,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "n_near")
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op10_decontamination": op10_decontamination,
+}
 SQL: dict[str, str] = {}
