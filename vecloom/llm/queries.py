@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
+from vecloom.llm.neardup import near_duplicates
 from vecloom.llm.tokens import token_prefixes
 
 TOKEN_LIMIT = 512
@@ -18,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -26,6 +32,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {}
