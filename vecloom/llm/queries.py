@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
 from vecloom.llm.neardup import near_duplicates
+from vecloom.llm.suffix import without_repeats
 from vecloom.llm.tokens import token_prefixes
 
 TOKEN_LIMIT = 512
@@ -19,6 +20,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return without_repeats(spark, table(spark, sf_dir, "documents"), kept_bytes=False)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
@@ -32,6 +38,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
