@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
+from vecloom.llm.lines import BREAKS, HIDDEN, HOST, LEAST_PAGES, RATIO, drop_boilerplate, host_of, page_text
 from vecloom.llm.neardup import near_duplicates
 from vecloom.llm.suffix import without_repeats
 from vecloom.llm.tokens import token_prefixes
@@ -30,6 +31,33 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, n_dropped, n_kept_chars, kept_sha256 of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
+    out = drop_boilerplate(spark, pages, "host", "text")
+    return out.select("page_id", "host", F.col("n_lines_dropped").alias("n_dropped"), F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = f"""
+WITH shown AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g'), '{BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+  FROM pages),
+page AS (SELECT row_number() OVER () AS r, page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM shown),
+total AS (SELECT host, count(*) AS total FROM page GROUP BY host HAVING count(*) >= {LEAST_PAGES}),
+line AS (SELECT DISTINCT r, host, unnest(lines) AS line FROM page),
+often AS (
+  SELECT host, line FROM line JOIN total USING (host) GROUP BY host, line, total
+  HAVING count(*) >= {LEAST_PAGES} AND count(*) > total * {RATIO}::DOUBLE),
+placed AS (SELECT r, page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM page),
+kept AS (SELECT p.* FROM placed p ANTI JOIN often o ON p.host = o.host AND p.line = o.line),
+text AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS text FROM kept GROUP BY r)
+SELECT page_id, page.host, (greatest(len(lines), 1) - greatest(coalesce(n, 0), CASE WHEN len(lines) = 0 THEN 1 ELSE 0 END))::BIGINT AS n_dropped,
+  length(coalesce(text, ''))::BIGINT AS n_kept_chars, sha256(coalesce(text, '')) AS kept_sha256
+FROM page LEFT JOIN text USING (r)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,6 +68,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
