@@ -4,9 +4,9 @@ Each text's set of word shingles is reduced to registers of a leading-zero count
 mantissa bits. Texts with one and the same set form a class at once. Bands of registers put
 classes into buckets; in each bucket every member is compared with one pivot on the full
 sets, and the links give components. Members of a bucket that are still in different
-components are compared with each other where the triangle inequality of the Jaccard
-distance, from the pivot's exact distances, and the collision-corrected register estimate
-leave a link possible. So a group of near copies costs about its size, and no pair is cut off.
+components are compared with each other where a link is still possible: by the triangle
+inequality of the Jaccard distance from the pivot, by the number of shingles that each has in
+common with any other open document, and by the collision-corrected register estimate. So a group of near copies costs about its size, and no pair is cut off.
 
 Edge cases: null texts count as empty; empty texts and texts without words have an empty set
 and link with nothing; texts with fewer words than a shingle are one shingle; repeated rows
@@ -164,8 +164,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
-def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """Pairs with the sizes of both full sets and of what they share: a, b, both, total (of the union)."""
+def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs with the sizes of what both full sets share and of their union (a, b, both, total); and the sets."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), spark, f"{name}-ids")
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(small, "rep", "left_semi")
@@ -173,7 +173,17 @@ def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, id_col: str
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"i_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("i_a", "i_b"))
-    return written(joined.select("a", "b", both.alias("both"), (F.size("i_a") + F.size("i_b")).alias("total")).select("a", "b", "both", (F.col("total") - F.col("both")).alias("total")), spark, f"{name}-compared")
+    sizes = joined.select("a", "b", both.alias("both"), (F.size("i_a") + F.size("i_b")).alias("total"))
+    return written(sizes.select("a", "b", "both", (F.col("total") - F.col("both")).alias("total")), spark, f"{name}-compared"), sets
+
+
+def shared_sizes(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, size, shared: how many items of each set any other set of reps has too. Counted before the shuffle, and linear."""
+    own = sets.select(F.col("doc_id").alias("rep"), "items").join(reps, "rep", "left_semi")
+    items = own.select("rep", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    alone = items.where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    sized = own.select("rep", F.size("items").alias("size")).join(alone, "rep", "left")
+    return written(sized.select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")), spark, "near-shared")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +199,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_
     members = written(banded.join(buckets, "key"), spark, "near-buckets")
 
     stars = written(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), spark, "near-stars")
-    known = compared(spark, docs, stars, id_col, text_col, "near-star")
+    known, sets = compared(spark, docs, stars, id_col, text_col, "near-star")
     linked = F.col("both") * 100 >= F.col("total") * percent
     links = known.where(linked).select("a", "b")
     labels = components(spark, links)
@@ -201,13 +211,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_
     split = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_ = written(told.join(split, "key"), spark, "near-open")
     home = open_.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+    open_ = written(open_.join(shared_sizes(spark, sets, open_.select("rep").distinct()), "rep"), spark, "near-open-sized")
     outer = open_.join(home, "key").where("component <> main")
     x, y = outer.alias("x"), open_.alias("y")
+    most = F.least("x.shared", "y.shared")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - percent / 100 + 1e-9)
+    near &= most * 100 >= (F.col("x.size") + F.col("y.size") - most) * percent
     rest = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     rest = written(plausible(rest.join(known, ["a", "b"], "left_anti"), classes, percent), spark, "near-rest")
     if not rest.isEmpty():
-        more = compared(spark, docs, rest, id_col, text_col, "near-rest").where(linked).select("a", "b")
+        more = compared(spark, docs, rest, id_col, text_col, "near-rest")[0].where(linked).select("a", "b")
         labels = components(spark, links.union(more))
 
     named = classes.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
