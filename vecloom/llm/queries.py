@@ -9,10 +9,12 @@ from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
 from vecloom.llm.lines import BREAKS, HIDDEN, HOST, LEAST_PAGES, RATIO, drop_boilerplate, host_of, page_text
 from vecloom.llm.neardup import near_duplicates
+from vecloom.llm.quality import fit_quality, fold_of, quality_scores
 from vecloom.llm.suffix import without_repeats
 from vecloom.llm.tokens import token_prefixes
 
 TOKEN_LIMIT = 512
+QUALITY_CUT = 0.3
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_scores(docs, fit_quality(spark, docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, n_dropped, n_kept_chars, kept_sha256 of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
@@ -68,6 +77,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality": op6_quality,
     "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
