@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm.ann import neighbours
 from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
 from vecloom.llm.lines import BREAKS, HIDDEN, HOST, LEAST_PAGES, RATIO, drop_boilerplate, host_of, page_text
@@ -40,6 +41,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    return neighbours(spark, table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, n_dropped, n_kept_chars, kept_sha256 of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
@@ -78,6 +84,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
+    "op7_nearest": op7_nearest,
     "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
