@@ -152,6 +152,7 @@ def _beside(docs: DataFrame, lists: DataFrame, spark: SparkSession, how: str) ->
 
 #: Anchors with more different spans are compared window by window through a shuffle, not in one task.
 FEW_SPANS = 256
+BLOCK = 16
 WHERE = np.dtype([("lo", "<i4"), ("n", "<i4"), ("anchor", "<i8"), ("span", "<i8"), ("spans", "<i8"), ("copies", "<i8")])
 
 
@@ -194,7 +195,7 @@ def _window_hashes(raw: list[bytes], anchors: np.ndarray, length: int) -> tuple[
     return row, rel, mixed((sums[at + length] - sums[at]) * inv[at]) ^ mixed(anchors[row])
 
 
-def repeated_parts(spark: SparkSession, docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+def repeated_parts(spark: SparkSession, docs: DataFrame, marked: DataFrame, length: int, gram: int) -> DataFrame:
     """anchor, span, lo, n: the repeated windows of spans that occur once, at anchors that occur more often."""
     place = F.min(F.struct("doc_id", "h", "lo", "n", "spans", "copies")).alias("p")
     wanted = marked.where("spans > 1").groupBy("anchor", "span").agg(place).select("p.*", "anchor", "span")
@@ -242,20 +243,44 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, marked: DataFrame, leng
             take = pa.array(row[first])
             yield pa.RecordBatch.from_arrays([table.column("anchor").take(take).combine_chunks(), table.column("span").take(take).combine_chunks(), pa.array(rel[first].astype(np.int32)), pa.array((rel[last] - rel[first] + 1).astype(np.int32))], names=["anchor", "span", "lo", "n"])
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each span's windows in blocks by their distance to the anchor: one hash for all the bytes of a block, one for each window."""
         for batch in _sized(batches):
             if batch.num_rows:
-                row, rel, h = _window_hashes(batch.column("raw").to_pylist(), batch.column("anchor").to_numpy().view(np.uint64), length)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("span").take(take), batch.column("copies").take(take), pa.array(rel.astype(np.int32)), pa.array(h.view(np.int64))], names=["anchor", "span", "copies", "rel", "w"])
+                raw, anchors = batch.column("raw").to_pylist(), batch.column("anchor").to_numpy().view(np.uint64)
+                row, rel, h = _window_hashes(raw, anchors, length)
+                block = (_places(raw, anchors, gram)[row] - rel) // BLOCK
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(block) != 0)]))
+                n = np.diff(np.append(first, len(row)))
+                hulls = [xxhash.xxh3_64_intdigest(raw[r][a : a + k + length - 1]) for r, a, k in zip(row[first].tolist(), rel[first].tolist(), n.tolist())]
+                take = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("anchor", "span", "copies")), pa.array(rel[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.array(hulls, np.uint64).view(np.int64)), pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), h.view(np.int64))], names=["anchor", "span", "copies", "lo", "n", "hull", "windows"])
 
     local = spans.where(F.col("spans") <= FEW_SPANS).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(few, "anchor long, span long, lo int, n int")
     crowd = spans.where(F.col("spans") > FEW_SPANS)
     if crowd.isEmpty():
         return local
-    windows = written(crowd.mapInArrow(every, "anchor long, span long, copies long, rel int, w long"), spark, "suffix-windows")
+    cut_up = written(crowd.mapInArrow(blocks, "anchor long, span long, copies long, lo int, n int, hull long, windows array<long>"), spark, "suffix-blocks")
+    alike = cut_up.groupBy("anchor", "hull").agg(F.count("*").alias("c"), F.min("span").alias("first"))
+    told = written(cut_up.join(alike, ["anchor", "hull"]), spark, "suffix-told")
+    whole = told.where("c > 1 and copies = 1").select("anchor", "span", "lo", "n")
+    # Of blocks that are alike, one stands for all where single windows are compared.
+    windows = told.where("c = 1 or span = first").select("anchor", "span", "lo", (F.expr("c = 1 and copies = 1")).alias("open"), F.posexplode("windows").alias("pos", "w"))
     twice = windows.groupBy("anchor", "w").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "w")
-    return local.union(windows.where("copies = 1").join(twice, ["anchor", "w"]).select("anchor", "span", F.col("rel").alias("lo"), F.lit(1).alias("n")))
+    single = windows.where("open").join(twice, ["anchor", "w"]).select("anchor", "span", (F.col("lo") + F.col("pos")).alias("lo"), F.lit(1).alias("n"))
+    return local.union(whole).union(single)
+
+
+def _places(raw: list[bytes], anchors: np.ndarray, gram: int) -> np.ndarray:
+    """Where in its span each anchor first stands."""
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    sums, inv = range_hashes(np.frombuffer(b"".join(raw), np.uint8))
+    grams = mixed((sums[gram:] - sums[:-gram]) * inv[: len(sums) - gram])
+    of = np.repeat(np.arange(len(raw)), np.diff(starts))[: len(grams)]
+    hit = np.flatnonzero((grams == anchors[of]) & (np.arange(len(grams)) + gram <= starts[of + 1]))
+    out = np.zeros(len(raw), np.int64)
+    out[of[hit][::-1]] = (hit - starts[of[hit]])[::-1]
+    return out
 
 
 def repeated_ranges(spark: SparkSession, docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -266,7 +291,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, batches: int = 4, id_c
         family.add(entries.where(F.col("batch") == b))
     marked = written(entries.drop("batch").join(family.repeats(), ["anchor", "span"]), spark, "suffix-marked")
     whole = marked.where("copies > 1").select("doc_id", "h", "lo", (F.col("n") + length - 1).alias("n"))
-    parts = repeated_parts(spark, keyed(docs, id_col, text_col), marked, length)
+    parts = repeated_parts(spark, keyed(docs, id_col, text_col), marked, length, gram)
     part = marked.where("copies = 1").select("doc_id", "h", F.col("lo").alias("at"), "anchor", "span").join(parts, ["anchor", "span"])
     part = part.select("doc_id", "h", (F.col("at") + F.col("lo")).alias("lo"), (F.col("n") + length - 1).alias("n"))
     return written(_packed(whole.union(part), ["lo", "n"], np.dtype([("lo", "<i4"), ("n", "<i4")])), spark, "suffix-ranges")
