@@ -10,6 +10,7 @@ from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
 from vecloom.llm.lines import BREAKS, HIDDEN, HOST, LEAST_PAGES, RATIO, drop_boilerplate, host_of, page_text
 from vecloom.llm.neardup import near_duplicates
+from vecloom.llm.pii import KINDS, find_pii, span_list
 from vecloom.llm.quality import fit_quality, fold_of, quality_scores
 from vecloom.llm.suffix import without_repeats
 from vecloom.llm.tokens import token_prefixes
@@ -24,6 +25,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the number of strict spans of each kind, base_sha256, spans."""
+    found = find_pii(spark, table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "extra")).alias("spans"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return without_repeats(spark, table(spark, sf_dir, "documents"), kept_bytes=False)
@@ -81,6 +89,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii": op2_pii,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
