@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.ann import neighbours
+from vecloom.llm.chat import fit_roles, parse_transcripts, rendered
 from vecloom.llm.common import table
 from vecloom.llm.decontam import contamination
 from vecloom.llm.lines import BREAKS, HIDDEN, HOST, LEAST_PAGES, RATIO, drop_boilerplate, host_of, page_text
 from vecloom.llm.neardup import near_duplicates
+from vecloom.llm.packing import packed
 from vecloom.llm.pii import KINDS, find_pii, span_list
 from vecloom.llm.quality import fit_quality, fold_of, quality_scores
 from vecloom.llm.suffix import without_repeats
@@ -32,6 +34,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "extra")).alias("spans"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, bin_offset, bin_size; lengths are UTF-8 bytes."""
+    return packed(spark, table(spark, sf_dir, "documents"), F.octet_length("text"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return without_repeats(spark, table(spark, sf_dir, "documents"), kept_bytes=False)
@@ -81,6 +88,14 @@ FROM page LEFT JOIN text USING (r)
 """
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, part, role, n_chars, rendered_sha256; roles are learned from a share of the conversations and never read for the others."""
+    rows = table(spark, sf_dir, "conversations")
+    model = fit_roles(rows.where(fold_of(F.col("conv_id")) != 0))
+    turns = rendered(parse_transcripts(spark, rows, model))
+    return turns.select("conv_id", "turn", "part", "role", F.length("content").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -90,11 +105,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
     "op7_nearest": op7_nearest,
     "op8_line_dedup": op8_line_dedup,
+    "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
