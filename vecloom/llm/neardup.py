@@ -2,11 +2,10 @@
 
 Each text's set of word shingles is reduced to registers of a leading-zero count and a few
 mantissa bits. Texts with one and the same set form a class at once. Bands of registers put
-classes into buckets; in each bucket every member is compared with one pivot on the full
-sets, and the links give components. Members of a bucket that are still in different
-components are compared with each other where a link is still possible: by the triangle
-inequality of the Jaccard distance from the pivot, by the number of shingles that each has in
-common with any other open document, and by the collision-corrected register estimate. So a group of near copies costs about its size, and no pair is cut off.
+classes into buckets; in each bucket every member whose collision-corrected register estimate
+allows a link is compared with one pivot on the full sets, and the links give components.
+Texts of one pivot that are still in different components are then compared with each other,
+exactly, by their short differences to the pivot. So a group of near copies costs about its size, and no pair is cut off.
 
 Edge cases: null texts count as empty; empty texts and texts without words have an empty set
 and link with nothing; texts with fewer words than a shingle are one shingle; repeated rows
@@ -164,26 +163,60 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
-def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs with the sizes of what both full sets share and of their union (a, b, both, total); and the sets."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), spark, f"{name}-ids")
+def sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The full sets of all texts in pairs (a, b)."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), spark, "near-ids")
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(small, "rep", "left_semi")
-    sets = written(shingle_sets(texts, "rep").dropDuplicates(["doc_id"]), spark, f"{name}-sets")
+    return written(shingle_sets(texts, "rep").dropDuplicates(["doc_id"]), spark, "near-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by their full sets."""
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"i_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("i_a", "i_b"))
-    sizes = joined.select("a", "b", both.alias("both"), (F.size("i_a") + F.size("i_b")).alias("total"))
-    return written(sizes.select("a", "b", "both", (F.col("total") - F.col("both")).alias("total")), spark, f"{name}-compared"), sets
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("i_a") + F.size("i_b")).alias("sum"))
+    return joined.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
-def shared_sizes(spark: SparkSession, sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, size, shared: how many items of each set any other set of reps has too. Counted before the shuffle, and linear."""
+def common_items(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, size, common: the items that any other set of reps has too. Counted before the shuffle, and linear."""
     own = sets.select(F.col("doc_id").alias("rep"), "items").join(reps, "rep", "left_semi")
-    items = own.select("rep", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
-    alone = items.where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    sized = own.select("rep", F.size("items").alias("size")).join(alone, "rep", "left")
-    return written(sized.select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")), spark, "near-shared")
+    placed = own.select("rep", F.explode("items").alias("item"))
+    twice = placed.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
+    common = placed.join(twice, "item").groupBy("rep").agg(F.collect_list("item").alias("common"))
+    return own.select("rep", F.size("items").alias("size")).join(common, "rep", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+
+
+def links_left_open(spark: SparkSession, stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs among texts of one pivot that are still in different components.
+
+    Each text is written as its difference to the pivot (what it lacks of the pivot's set, or what it
+    has of it, and what it has beside), so a pair's overlap follows exactly from short lists and is
+    tested inside the join; only linked pairs come out.
+    """
+    told = stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    told = told.select("pivot", "rep", F.coalesce("component", "rep").alias("component"))
+    split = told.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("pivot")
+    open_ = written(told.join(split, "pivot"), spark, "near-open")
+    home = open_.groupBy("pivot", "component").count().groupBy("pivot").agg(F.max(F.struct("count", "component")).alias("m")).select("pivot", F.col("m.component").alias("main"))
+    own = open_.join(common_items(sets, open_.select("rep").distinct()), "rep").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("p")), "pivot")
+    has = F.array_intersect("p", "common")
+    own = own.withColumn("has", has).withColumn("near", F.size("has") * 2 >= F.size("p"))
+    part = F.when(F.col("near"), F.array_except("p", "has")).otherwise(F.col("has"))
+    own = own.select("pivot", "rep", "component", "size", F.size("common").alias("shared"), F.size("p").alias("whole"), F.size("has").alias("held"), "near", part.alias("part"), F.array_except("common", "p").alias("beside"))
+    own = written(own, spark, "near-differences")
+    outer = own.join(home, "pivot").where("component <> main")
+    x, y = outer.alias("x"), own.alias("y")
+    col = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    enough = lambda o: o * 100 >= (F.col("x.size") + F.col("y.size") - o) * percent
+    most = F.least(F.least(*col("shared")), F.least(*col("held")) + F.least(*map(F.size, col("beside"))))
+    cross = F.size(F.array_intersect(*col("part")))
+    in_pivot = F.when(F.col("x.near") & F.col("y.near"), F.col("x.held") + F.col("y.held") - F.col("x.whole") + cross)
+    in_pivot = in_pivot.when(~F.col("x.near") & ~F.col("y.near"), cross).when(F.col("x.near"), F.col("y.held") - cross).otherwise(F.col("x.held") - cross)
+    exact = in_pivot + F.size(F.array_intersect(*col("beside")))
+    linked = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.component") != F.col("y.component")) & enough(most) & enough(exact)
+    return x.join(y, linked).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,28 +232,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_
     members = written(banded.join(buckets, "key"), spark, "near-buckets")
 
     stars = written(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), spark, "near-stars")
-    known, sets = compared(spark, docs, stars, id_col, text_col, "near-star")
-    linked = F.col("both") * 100 >= F.col("total") * percent
-    links = known.where(linked).select("a", "b")
+    sets = sets_of(spark, docs, stars, id_col, text_col)
+    links = written(confirmed(plausible(stars, classes, percent), sets, percent), spark, "near-links")
     labels = components(spark, links)
-
-    # What the pivots leave open: members of one bucket in different components.
-    far = known.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("total")).alias("away"))
-    told = members.where("rep <> pivot").join(far, ["pivot", "rep"]).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    told = told.select("key", "rep", "away", F.coalesce("component", "rep").alias("component"))
-    split = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = written(told.join(split, "key"), spark, "near-open")
-    home = open_.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    open_ = written(open_.join(shared_sizes(spark, sets, open_.select("rep").distinct()), "rep"), spark, "near-open-sized")
-    outer = open_.join(home, "key").where("component <> main")
-    x, y = outer.alias("x"), open_.alias("y")
-    most = F.least("x.shared", "y.shared")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - percent / 100 + 1e-9)
-    near &= most * 100 >= (F.col("x.size") + F.col("y.size") - most) * percent
-    rest = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = written(plausible(rest.join(known, ["a", "b"], "left_anti"), classes, percent), spark, "near-rest")
-    if not rest.isEmpty():
-        more = compared(spark, docs, rest, id_col, text_col, "near-rest")[0].where(linked).select("a", "b")
+    more = written(links_left_open(spark, stars, labels, sets, percent), spark, "near-more")
+    if not more.isEmpty():
         labels = components(spark, links.union(more))
 
     named = classes.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
