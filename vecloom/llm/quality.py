@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,19 +161,24 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample:
     return AttentionModel().fit(np.concatenate(bags) if bags else np.zeros((0, N_FEATURES)), cuts, np.array([r["label"] for r in rows], float))
 
 
-def quality_scores(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The id (or the columns in keep) and score, for each row; one pass without a shuffle."""
-    kept = keep or [id_col]
-    fields = [f for f in docs.schema.fields if f.name in kept]
+def quality_scores(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, text_back: bool = False) -> DataFrame:
+    """The id (or the columns in keep) and score, for each row; one pass without a shuffle.
+
+    With text_back, keep may hold the text column, which then goes through Python once.
+    """
+    kept = [c for c in (keep or [id_col]) if text_back or c != text_col]
+    inputs = [c for c in kept if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for first, end, data, starts in chunks(batch.column(len(kept))):
+            texts, out = batch.column(len(inputs)), []
+            for first, end, data, starts in chunks(pa.compute.fill_null(texts, "")):
                 of, x = passages(data, starts)
                 out.append(model.scores(x, np.searchsorted(of, np.arange(end - first))))
             if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], names=[*kept, "score"])
+                columns = dict(zip(inputs, batch.columns))
+                yield pa.RecordBatch.from_arrays([*(columns.get(c, texts) for c in kept), pa.array(np.concatenate(out))], names=[*kept, "score"])
 
-    schema = ", ".join(f"`{c}` {next(f for f in fields if f.name == c).dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, f"{schema}, score double")
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
+    return docs.select(*inputs, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double")
