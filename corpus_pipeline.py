@@ -1,15 +1,76 @@
-"""The corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality classifier, line dedup, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and but for
+the last returns the columns of `documents`. Stages are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecloom.llm.common import table, written
+from vecloom.llm.decontam import contamination, words_of
+from vecloom.llm.lines import drop_boilerplate
+from vecloom.llm.neardup import near_duplicates
+from vecloom.llm.packing import packed
+from vecloom.llm.quality import fit_quality, quality_scores
+
+QUALITY_CUT = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    model = fit_quality(spark, docs, table(spark, sf_dir, "labels"))
+    scored = quality_scores(docs, model, keep=docs.columns, text_back=True)
+    return scored.where(F.col("score") >= QUALITY_CUT).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that their source repeats on a large share of its documents."""
+    cut = drop_boilerplate(spark, docs, "source", "text")
+    size = F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", size).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates; of rows that share an id, one."""
+    found = written(near_duplicates(spark, docs), spark, "pipeline-near")
+    kept = _without(docs, written(found.where("not kept").select("doc_id").distinct(), spark, "pipeline-dropped"))
+    shared = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), spark, "pipeline-shared")
+    if shared.isEmpty():
+        return kept
+    return _without(kept, shared).union(kept.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item: one window of eight words is enough, and shorter items don't count."""
+    items = table(spark, sf_dir, "benchmark").where(F.size(words_of(F.coalesce("text", F.lit("")))) >= 8)
+    found = contamination(spark, docs, items, least_items=1)
+    dropped = written(found.where("contaminated").select("doc_id").distinct(), spark, "pipeline-contaminated")
+    return _without(docs, dropped)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without these ids, which are broadcast only if they are few."""
+    few = F.broadcast(dropped) if dropped.count() <= 2_000_000 else dropped
+    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, bin_offset, bin_size: the documents packed by their UTF-8 bytes."""
+    return packed(spark, docs, F.octet_length("text"))
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+#: The classifier and the packing are no SQL; tests compare the pipeline with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, spark, f"pipeline-{name}")
     return docs
