@@ -152,7 +152,7 @@ def _beside(docs: DataFrame, lists: DataFrame, spark: SparkSession, how: str) ->
 
 #: Anchors with more different spans are compared window by window through a shuffle, not in one task.
 FEW_SPANS = 256
-BLOCK = 16
+BLOCK = 8
 WHERE = np.dtype([("lo", "<i4"), ("n", "<i4"), ("anchor", "<i8"), ("span", "<i8"), ("spans", "<i8"), ("copies", "<i8")])
 
 
@@ -244,28 +244,33 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, marked: DataFrame, leng
             yield pa.RecordBatch.from_arrays([table.column("anchor").take(take).combine_chunks(), table.column("span").take(take).combine_chunks(), pa.array(rel[first].astype(np.int32)), pa.array((rel[last] - rel[first] + 1).astype(np.int32))], names=["anchor", "span", "lo", "n"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each span's windows in blocks by their distance to the anchor: one hash for all the bytes of a block, one for each window."""
+        """Each span's windows in blocks by their distance to the anchor, with a hash of all the block's bytes, of those that any window of the block has, and of each window."""
         for batch in _sized(batches):
             if batch.num_rows:
                 raw, anchors = batch.column("raw").to_pylist(), batch.column("anchor").to_numpy().view(np.uint64)
                 row, rel, h = _window_hashes(raw, anchors, length)
-                block = (_places(raw, anchors, gram)[row] - rel) // BLOCK
+                place = _places(raw, anchors, gram)
+                block = (place[row] - rel) // BLOCK
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(block) != 0)]))
                 n = np.diff(np.append(first, len(row)))
                 hulls = [xxhash.xxh3_64_intdigest(raw[r][a : a + k + length - 1]) for r, a, k in zip(row[first].tolist(), rel[first].tolist(), n.tolist())]
+                ends = place[row[first]] - BLOCK * block[first]  # the last start of a whole block
+                cores = [xxhash.xxh3_64_intdigest(raw[r][e : e - BLOCK + 1 + length], j & 0xFFFF) for r, e, j in zip(row[first].tolist(), ends.tolist(), block[first].tolist())]
                 take = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("anchor", "span", "copies")), pa.array(rel[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.array(hulls, np.uint64).view(np.int64)), pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), h.view(np.int64))], names=["anchor", "span", "copies", "lo", "n", "hull", "windows"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("anchor", "span", "copies")), pa.array(rel[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.array(hulls, np.uint64).view(np.int64)), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), h.view(np.int64))], names=["anchor", "span", "copies", "lo", "n", "hull", "core", "windows"])
 
     local = spans.where(F.col("spans") <= FEW_SPANS).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(few, "anchor long, span long, lo int, n int")
     crowd = spans.where(F.col("spans") > FEW_SPANS)
     if crowd.isEmpty():
         return local
-    cut_up = written(crowd.mapInArrow(blocks, "anchor long, span long, copies long, lo int, n int, hull long, windows array<long>"), spark, "suffix-blocks")
+    cut_up = written(crowd.mapInArrow(blocks, "anchor long, span long, copies long, lo int, n int, hull long, core long, windows array<long>"), spark, "suffix-blocks")
     alike = cut_up.groupBy("anchor", "hull").agg(F.count("*").alias("c"), F.min("span").alias("first"))
-    told = written(cut_up.join(alike, ["anchor", "hull"]), spark, "suffix-told")
+    # Equal windows lie in blocks with one core; a block whose core is its own alone has no repeated window.
+    cores = alike.join(cut_up.select("anchor", "hull", "core").distinct(), ["anchor", "hull"]).groupBy("anchor", "core").agg(F.count("*").alias("kinds"))
+    told = written(cut_up.join(alike, ["anchor", "hull"]).join(cores, ["anchor", "core"]), spark, "suffix-told")
     whole = told.where("c > 1 and copies = 1").select("anchor", "span", "lo", "n")
     # Of blocks that are alike, one stands for all where single windows are compared.
-    windows = told.where("c = 1 or span = first").select("anchor", "span", "lo", (F.expr("c = 1 and copies = 1")).alias("open"), F.posexplode("windows").alias("pos", "w"))
+    windows = told.where("kinds > 1 and (c = 1 or span = first)").select("anchor", "span", "lo", (F.expr("c = 1 and copies = 1")).alias("open"), F.posexplode("windows").alias("pos", "w"))
     twice = windows.groupBy("anchor", "w").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "w")
     single = windows.where("open").join(twice, ["anchor", "w"]).select("anchor", "span", (F.col("lo") + F.col("pos")).alias("lo"), F.lit(1).alias("n"))
     return local.union(whole).union(single)
