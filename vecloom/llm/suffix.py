@@ -266,7 +266,7 @@ def repeated_parts(spark: SparkSession, docs: DataFrame, marked: DataFrame, leng
     cut_up = written(crowd.mapInArrow(blocks, "anchor long, span long, copies long, lo int, n int, hull long, core long, windows array<long>"), spark, "suffix-blocks")
     alike = cut_up.groupBy("anchor", "hull").agg(F.count("*").alias("c"), F.min("span").alias("first"))
     # Equal windows lie in blocks with one core; a block whose core is its own alone has no repeated window.
-    cores = alike.join(cut_up.select("anchor", "hull", "core").distinct(), ["anchor", "hull"]).groupBy("anchor", "core").agg(F.count("*").alias("kinds"))
+    cores = cut_up.groupBy("anchor", "core").agg(F.count_distinct("hull").alias("kinds"))
     told = written(cut_up.join(alike, ["anchor", "hull"]).join(cores, ["anchor", "core"]), spark, "suffix-told")
     whole = told.where("c > 1 and copies = 1").select("anchor", "span", "lo", "n")
     # Of blocks that are alike, one stands for all where single windows are compared.
