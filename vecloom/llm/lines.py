@@ -60,12 +60,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, host_col: str, text_c
     """docs with `text_col` cut down to the lines that stay, and n_lines_dropped."""
     own = boilerplate(spark, docs, host_col, text_col, ratio, least_pages)
     size = own.agg(F.coalesce(F.sum(F.size("boilerplate_keys") * 24 + F.length("host") + 64), F.lit(0))).head()[0]
-    own = own.select(F.col("host").alias("_host"), F.col("nameless").alias("_nameless"), "boilerplate_keys")
-    docs = docs.select("*", F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(host_col).isNull().alias("_nameless"))
-    joined = docs.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, ["_host", "_nameless"], "left")
-    lines = F.split(text_col, "\n")
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column of docs clashes with one made here
+    plain = docs.toDF(*names.values())
+    host, text = F.col(names[host_col]), F.col(names[text_col])
+    plain = plain.select("*", F.coalesce(host, F.lit("")).alias("host"), host.isNull().alias("nameless"))
+    joined = plain.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, ["host", "nameless"], "left")
+    lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("boilerplate_keys"), _key(F.trim(x))))
-    cut = F.when(F.col("boilerplate_keys").isNull() | F.col(text_col).isNull(), lines).otherwise(kept)
-    out = joined.withColumn("_kept", cut)
-    left = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("_host", "_nameless")]
-    return out.select(*left, (F.size(lines) - F.size("_kept")).cast("long").alias("n_lines_dropped"))
+    out = joined.withColumn("kept", F.when(F.col("boilerplate_keys").isNull() | text.isNull(), lines).otherwise(kept))
+    left = [F.when(text.isNotNull(), F.array_join("kept", "\n")).alias(c) if c == text_col else F.col(k).alias(c) for c, k in names.items()]
+    dropped = F.coalesce(F.size(lines) - F.size("kept"), F.lit(0)).cast("long")
+    return out.select(*left, dropped.alias("n_lines_dropped"))

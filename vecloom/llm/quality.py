@@ -168,6 +168,8 @@ def quality_scores(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id
     """
     kept = [c for c in (keep or [id_col]) if text_back or c != text_col]
     inputs = [c for c in kept if c != text_col]
+    names = [f"c{k}" for k in range(len(kept))]  # so that no column of docs clashes with the score
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +179,8 @@ def quality_scores(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id
                 out.append(model.scores(x, np.searchsorted(of, np.arange(end - first))))
             if out:
                 columns = dict(zip(inputs, batch.columns))
-                yield pa.RecordBatch.from_arrays([*(columns.get(c, texts) for c in kept), pa.array(np.concatenate(out))], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*(columns.get(c, texts) for c in kept), pa.array(np.concatenate(out))], names=[*names, "score"])
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
-    return docs.select(*inputs, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double")
+    rows = docs.select(*[F.col(c).alias(f"i{k}") for k, c in enumerate(inputs)], F.col(text_col).alias("text"))
+    scored = rows.mapInArrow(run, ", ".join(f"{n} {types[c]}" for n, c in zip(names, kept)) + ", score double")
+    return scored.toDF(*kept, "score")
