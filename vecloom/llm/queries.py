@@ -97,9 +97,53 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "n_near")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, pos, md5(array_slice(b, pos, pos + 199)) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS pos FROM d)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS before FROM w SEMI JOIN again USING (h)),
+run AS (SELECT r, pos, sum(CASE WHEN before IS NULL OR pos > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS k FROM s),
+span AS (SELECT r, k, min(pos) AS a, max(pos) + 200 AS z FROM run GROUP BY r, k),
+cut AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM span GROUP BY r),
+kept AS (SELECT r, doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  array_to_string(list_transform(list_zip(list_concat([1], coalesce(ends, [])), list_concat(coalesce(starts, []), [octet_length(b) + 1])),
+    lambda p: CASE WHEN p[2] > p[1] THEN hex(array_slice(b, p[1], p[2] - 1)) ELSE '' END), '') AS hexed
+  FROM d LEFT JOIN cut USING (r))
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(hexed)) AS kept_sha256 FROM kept
+"""
+WORD_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '{WORD_SPLIT}'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array({LOWERED}, '{WORD_SPLIT}'), lambda w: w <> '') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, pos, pos + 7), ' ') AS phrase, least(len(w), 8) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS pos FROM b WHERE len(w) > 0 AND item_id IS NOT NULL)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, pos, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT dw.doc_id, pos, dw.n, item_id FROM dw JOIN iw ON iw.phrase = dw.phrase AND iw.n = dw.n),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE common * 100 >= (a.n + b.n - common) * 75),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y),
+comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)
+"""
 
 
 QUERIES = {
@@ -114,4 +158,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
