@@ -13,7 +13,7 @@ from vecloom.operators.neighbors import _vectors, as_rows, check_matrix
 from vecloom.operators.sparse import Sparse
 from vecloom.plans import provenance as prov
 
-#: Triangles are merged in groups of so many until one is left.
+#: Partitions' triangles are merged into so many before they come to the driver.
 FAN_IN = 32
 
 
@@ -46,7 +46,7 @@ class Pca:
 
 
 def triangle(rows: DataFrame, cols: int, center=None, scale=None) -> np.ndarray:
-    """R of the QR decomposition of the (centred, scaled) matrix: each partition keeps a p x p triangle; triangles merge in a tree."""
+    """R of the QR decomposition of the (centred, scaled) matrix: each partition keeps a p x p triangle, and these merge."""
     center = np.zeros(cols) if center is None else center
     scale = np.ones(cols) if scale is None else scale
 
@@ -68,10 +68,7 @@ def triangle(rows: DataFrame, cols: int, center=None, scale=None) -> np.ndarray:
         if r is not None:
             yield pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()])], names=["r"])
 
-    found, parts = rows.select("features").mapInArrow(local, "r array<double>"), rows.rdd.getNumPartitions()
-    while parts > FAN_IN:
-        parts = -(-parts // FAN_IN)
-        found = found.repartition(parts).mapInArrow(merge, "r array<double>")
+    found = rows.select("features").mapInArrow(local, "r array<double>").repartition(FAN_IN).mapInArrow(merge, "r array<double>")
     got = [np.array(r["r"]).reshape(-1, cols) for r in found.collect()]
     return np.linalg.qr(np.vstack(got), mode="r")
 
