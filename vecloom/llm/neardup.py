@@ -27,7 +27,7 @@ from vecloom.llm.components import components
 from vecloom.llm.hashing import chunks, mixed, word_hashes
 
 WIDTH = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Sketches rule out a pair only if the estimate is below the threshold by so much (over six standard errors) and both sets are of this size.
@@ -60,7 +60,7 @@ def shingles(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[
 
 def sketch(distinct: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of a non-empty set of hashes; empty registers borrow from a fixed sequence of others."""
-    at = (distinct >> np.uint64(57)).astype(np.int64) % REGISTERS
+    at = ((distinct >> np.uint64(32)) % np.uint64(REGISTERS)).astype(np.int64)
     rest = mixed(distinct) >> np.uint64(1)
     least = np.full(REGISTERS, np.iinfo(np.int64).max)
     np.minimum.at(least, at, rest.astype(np.int64))
