@@ -67,8 +67,10 @@ def test_top_k():
         neighbors.top_k(np.array([[np.nan]]), np.array([1]), np.array([2]), 1)
 
 
-def test_sparse_knn(spark):
-    x = np.random.default_rng(2).poisson(1.0, (30, 5)).astype(float)
+@pytest.mark.parametrize("wide", [4096, 1])
+def test_sparse_knn(spark, wide, monkeypatch):
+    monkeypatch.setattr(neighbors, "WIDE", wide)
+    x = np.random.default_rng(2).poisson(0.6, (30, 5)).astype(float)
     got, want = answer(neighbors.sparse_knn(spark, sparse(spark, x, (30, 5)), 4)), answer(neighbors.knn(spark, rows(spark, x), 4))
     assert got[0] == want[0] and np.allclose(got[1], want[1])
 

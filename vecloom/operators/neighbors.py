@@ -27,6 +27,8 @@ METRICS = ("euclidean", "cosine")
 SQL_CELLS = 20_000_000
 #: Rows of a reference block.
 BLOCK_ROWS = 8192
+#: Columns up to which sparse rows are filled in.
+WIDE = 4096
 
 
 @dataclass
@@ -56,10 +58,29 @@ def check_matrix(rows: DataFrame, least_rows: int = 1, least_cols: int = 1) -> t
     return got["n"], got["low"]
 
 
+def dense_rows(x: Sparse) -> DataFrame:
+    """row_id, features of a sparse matrix, filled row by row; rows without entries too."""
+    p = x.shape[1]
+    every = x.entries.sparkSession.range(1, x.shape[0] + 1).withColumnRenamed("id", "i").join(x.csr_rows(), "i", "left")
+
+    def fill(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, max(1, 4_000_000 // p)):
+                batch = whole.slice(a, max(1, 4_000_000 // p))
+                cols, vals = batch.column("cols"), batch.column("vals")
+                out = np.zeros((batch.num_rows, p))
+                sizes = np.nan_to_num(cols.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+                out[np.repeat(np.arange(batch.num_rows), sizes), cols.flatten().to_numpy(zero_copy_only=False) - 1] = vals.flatten().to_numpy(zero_copy_only=False)
+                offsets = np.arange(0, out.size + 1, p)
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.ListArray.from_arrays(offsets.astype(np.int32), out.ravel())], names=["row_id", "features"])
+
+    return every.mapInArrow(fill, "row_id long, features array<double>")
+
+
 def as_rows(x) -> DataFrame:
     """row_id, features of a matrix, a tensor or a sparse matrix."""
     if isinstance(x, Sparse):
-        x = x.to_tensor()
+        return dense_rows(x)
     return x if isinstance(x, DataFrame) else x.rows()
 
 
@@ -250,14 +271,16 @@ def knn(spark: SparkSession, x, k: int = 15, metric: str = "euclidean", batch_si
 
 
 def sparse_knn(spark: SparkSession, x: Sparse, k: int = 15) -> Knn:
-    """Exact Euclidean neighbours of sparse rows without filling in zeros.
+    """Exact Euclidean neighbours of sparse rows.
 
-    Squared differences need only the union of two rows' entries, so pairs that share columns are
-    formed by a join on columns and all others follow from the rows' norms.
+    Up to WIDE columns the rows are filled in and compared in blocks. Wider rows are not filled in:
+    pairs that share columns are formed by a join on columns, and all others follow from the rows' norms.
     """
     n = x.shape[0]
     if not 1 <= k <= n - 1:
         raise ValueError("`k` must be a whole number between 1 and nrow(x) - 1.")
+    if x.shape[1] <= WIDE:
+        return knn(spark, x, k, strategy="block")
     rows = x.entries.sparkSession.range(1, n + 1).withColumnRenamed("id", "i")
     norms = rows.join(x.entries.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("q")), "i", "left").fillna(0.0)
     a, b = x.entries.toDF("r", "j", "a"), x.entries.toDF("c", "j", "b")

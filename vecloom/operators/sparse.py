@@ -163,6 +163,7 @@ def sparse(spark: SparkSession, x, shape=None, format: str = "coo", drop_zeros:
         entries = x.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double")).groupBy("i", "j").agg(F.sum("v").alias("v"))
         if drop_zeros:
             entries = entries.where("v <> 0")
+        entries = entries.persist()  # the check reads all of them, and every operator does again
         odd = F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))
         told = entries.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.max(odd.cast("int")).alias("odd"), F.min(F.least("i", "j")).alias("low")).head()
         if told["odd"]:
