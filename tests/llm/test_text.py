@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -31,23 +32,25 @@ def empty(spark):
 # Token counts
 
 
-@pytest.fixture(scope="module")
-def library():
+@lru_cache
+def loaded():
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(tokens.tokenizer_path())
 
 
+@pytest.fixture(scope="module")
+def library():
+    return loaded()
+
+
 PIECES = st.sampled_from([*"abcthe  \n\t'sremvld019.,!?-éß中😀\x1c\x85 ", "'s", "'ll", " the", "<|endoftext|>", "<|endo", "   ", "\r\n", "'re", "ᲀ", "a" * 150])
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(PIECES, max_size=30).map("".join))
 def test_every_prefix_counts_as_the_library_does(text):
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(tokens.tokenizer_path()) if not hasattr(test_every_prefix_counts_as_the_library_does, "lib") else test_every_prefix_counts_as_the_library_does.lib
-    test_every_prefix_counts_as_the_library_does.lib = lib
+    lib = loaded()
     got = tokens.counter(tokens.tokenizer_path()).prefix_counts(text)
     for i in {0, len(text), len(text) // 2, *range(max(0, len(text) - 15), len(text))}:
         assert got[i] == len(lib.encode(text[:i], add_special_tokens=False).ids), text[:i]
