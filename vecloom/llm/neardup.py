@@ -34,6 +34,8 @@ MANTISSA = 10
 MARGIN, LEAST_FOR_ESTIMATE = 0.25, 256
 #: Ids of candidate texts are broadcast if they are at most so many.
 BROADCAST_IDS = 2_000_000
+#: A pivot's texts are compared in parts of about so many.
+SPLIT = 128
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -197,17 +199,18 @@ def links_left_open(spark: SparkSession, stars: DataFrame, labels: DataFrame, se
     """
     told = stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     told = told.select("pivot", "rep", F.coalesce("component", "rep").alias("component"))
-    split = told.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("pivot")
-    open_ = written(told.join(split, "pivot"), spark, "near-open")
-    home = open_.groupBy("pivot", "component").count().groupBy("pivot").agg(F.max(F.struct("count", "component")).alias("m")).select("pivot", F.col("m.component").alias("main"))
+    sizes = told.groupBy("pivot", "component").count().groupBy("pivot").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("n"))
+    home = written(sizes.where("parts > 1").select("pivot", F.col("m.component").alias("main"), F.ceil(F.col("n") / SPLIT).cast("int").alias("salts")), spark, "near-home")
+    open_ = written(told.join(home, "pivot"), spark, "near-open")
     own = open_.join(common_items(sets, open_.select("rep").distinct()), "rep").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("p")), "pivot")
     has = F.array_intersect("p", "common")
     own = own.withColumn("has", has).withColumn("near", F.size("has") * 2 >= F.size("p"))
     part = F.when(F.col("near"), F.array_except("p", "has")).otherwise(F.col("has"))
-    own = own.select("pivot", "rep", "component", "size", F.size("common").alias("shared"), F.size("p").alias("whole"), F.size("has").alias("held"), "near", part.alias("part"), F.array_except("common", "p").alias("beside"))
+    own = own.select("pivot", "main", "salts", "rep", "component", "size", F.size("common").alias("shared"), F.size("p").alias("whole"), F.size("has").alias("held"), "near", part.alias("part"), F.array_except("common", "p").alias("beside"))
     own = written(own, spark, "near-differences")
-    outer = own.join(home, "pivot").where("component <> main")
-    x, y = outer.alias("x"), own.alias("y")
+    # A large group's texts are dealt into parts, and the few outside its main component meet every part.
+    outer = own.where("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    x, y = outer.alias("x"), own.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).alias("y")
     col = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
     enough = lambda o: o * 100 >= (F.col("x.size") + F.col("y.size") - o) * percent
     most = F.least(F.least(*col("shared")), F.least(*col("held")) + F.least(*map(F.size, col("beside"))))
@@ -215,7 +218,7 @@ def links_left_open(spark: SparkSession, stars: DataFrame, labels: DataFrame, se
     in_pivot = F.when(F.col("x.near") & F.col("y.near"), F.col("x.held") + F.col("y.held") - F.col("x.whole") + cross)
     in_pivot = in_pivot.when(~F.col("x.near") & ~F.col("y.near"), cross).when(F.col("x.near"), F.col("y.held") - cross).otherwise(F.col("x.held") - cross)
     exact = in_pivot + F.size(F.array_intersect(*col("beside")))
-    linked = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.component") != F.col("y.component")) & enough(most) & enough(exact)
+    linked = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & enough(most) & enough(exact)
     return x.join(y, linked).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
