@@ -31,7 +31,7 @@ PARTS = regex.compile(r"(\s*)(.*)", regex.S)
 #: The contractions that the vocabulary's splitting rule keeps whole (fixed values).
 CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Entries of the cache of units and of prefixes before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Prefixes of up to so many bytes, and units of up to twice as many characters, are kept in the caches.
 CACHED_BYTES = 24
 
