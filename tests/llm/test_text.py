@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecloom.llm import decontam, lines, neardup, packing, pii, quality, suffix, tokens
+from vecloom.llm.components import components
 
 ODD = [(7001, ""), (7002, None), (None, "a row without an id"), (7003, "twice"), (7003, "twice")]
 
@@ -247,6 +248,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(spark, empty(spark)).collect() == []
 
 
+def test_components_of_long_chains_with_shuffled_ids(spark):
+    ids = list(range(1000))
+    random.Random(5).shuffle(ids)
+    for step, names in ((1, ids), (3, ids), (1, sorted(ids))):
+        links = [(names[i], names[i + k]) for i in range(1000) for k in range(1, step + 1) if i + k < 1000]
+        links += [(2000, 2000), (3001, 3000)]
+        got = components(spark, spark.createDataFrame(links, "a long, b long")).collect()
+        assert {r["node"]: r["component"] for r in got} == dict.fromkeys(ids, 0) | {2000: 2000, 3000: 3000, 3001: 3000} and len(got) == 1003
+
+
+def test_a_chain_of_1000_texts_is_one_component(spark):
+    ids = list(range(1000))
+    random.Random(6).shuffle(ids)
+    rows = [(i, " ".join(f"w{w}" for w in range(5 * k, 5 * k + 44))) for k, i in enumerate(ids)]  # 35 of 45 shingles shared with the next, 30 of 50 with the one after
+    got = neardup.near_duplicates(spark, frame(spark, rows)).collect()
+    assert len(got) == 1000 and {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
 def test_register_estimates():
     rng = np.random.default_rng(0)
     table = neardup.chance_table()
