@@ -126,6 +126,12 @@ def distance_self_cosine(spark, d):
     return neighbors.distance(spark, _rescaled(spark, d).where("row_id <= 60"), metric="cosine").withColumn("distance", rounded("distance"))
 
 
+@query("distance_self_cosine_whole")
+def distance_self_cosine_whole(spark, d):
+    """All pairs of all rows."""
+    return neighbors.distance(spark, _rescaled(spark, d), metric="cosine").withColumn("distance", rounded("distance"))
+
+
 @query("topk_stable_ties", f"WITH {P} SELECT q AS row_id, rk::INT AS rank, r AS neighbor_id, d AS distance FROM (SELECT q, r, round(d, 2) AS d, row_number() OVER (PARTITION BY q ORDER BY round(d, 2), r) AS rk FROM p) WHERE rk <= 7")
 def topk_stable_ties(spark, d):
     pairs = neighbors.distance(spark, rows(spark, d)).where("row_id <> col_id").withColumn("distance", rounded("distance", 2))
@@ -167,6 +173,13 @@ def tensor_to_host(spark, d):
     return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(host @ np.arange(1, DIM + 1))], "row_id long, s double").withColumn("s", rounded("s"))
 
 
+@query("tensor_to_host_whole")
+def tensor_to_host_whole(spark, d):
+    """The whole tensor on the driver."""
+    host = matrix(spark, d).to_numpy()
+    return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(host @ np.arange(1, DIM + 1))], "row_id long, s double").withColumn("s", rounded("s"))
+
+
 @query("tensor_transfer", f"WITH {X} SELECT id AS i1, c AS i2, v FROM x WHERE c = 1")
 def tensor_transfer(spark, d):
     return matrix(spark, d).to_device("executors").cells.where("i2 = 1")
@@ -333,6 +346,14 @@ def sparse_to_host(spark, d):
     return spark.createDataFrame([(int(c) + 1, int(r) + 1, float(a)) for c, r, a in zip(np.repeat(np.arange(50), np.diff(p)), i, v)], "j long, i long, v double")
 
 
+@query("sparse_to_host_whole")
+def sparse_to_host_whole(spark, d):
+    """All columns in order on the driver."""
+    x = triplets(spark, d)
+    v, i, p = x.to_csc()
+    return spark.createDataFrame([(int(c) + 1, int(r) + 1, float(a)) for c, r, a in zip(np.repeat(np.arange(x.shape[1]), np.diff(p)), i, v)], "j long, i long, v double")
+
+
 @query("sparse_to_dense", f"WITH {S} SELECT r AS i1, c AS i2, coalesce(v, 0.0) AS v FROM range(1, (SELECT max(i) + 1 FROM s)) a(r) CROSS JOIN range(1, (SELECT max(j) + 1 FROM s)) b(c) LEFT JOIN s ON s.i = r AND s.j = c")
 def sparse_to_dense(spark, d):
     return triplets(spark, d).to_tensor().cells
@@ -441,6 +462,14 @@ def svd_reconstruction(spark, d):
     return back.select("row_id", F.posexplode("features").alias("p", "v")).select("row_id", (F.col("p") + 1).cast("long").alias("col"), rounded("v").alias("v"))
 
 
+@query("svd_reconstruction_whole")
+def svd_reconstruction_whole(spark, d):
+    """U diag(d) V' gives the matrix back, in all columns."""
+    found = linalg.svd(spark, rows(spark, d))
+    back = linalg.project(found.u, (found.v * found.d).T)
+    return back.select("row_id", F.posexplode("features").alias("p", "v")).select("row_id", (F.col("p") + 1).cast("long").alias("col"), rounded("v").alias("v"))
+
+
 FIXED = np.round(np.sin(np.arange(1, DIM * 2 + 1)), 4).reshape(DIM, 2)
 
 
@@ -571,6 +600,13 @@ def diffusion_normalized_kernel(spark, d):
     return embed.normalized_kernel(kernel, degree).where("row_id <= 40").withColumn("w", rounded("w", 8))
 
 
+@query("diffusion_normalized_kernel_whole")
+def diffusion_normalized_kernel_whole(spark, d):
+    """The whole matrix whose eigenvectors are the map."""
+    kernel, degree, _ = embed.diffusion_kernel(spark, rows(spark, d))
+    return embed.normalized_kernel(kernel, degree).withColumn("w", rounded("w", 8))
+
+
 @query("diffusion_map")
 def diffusion_map(spark, d):
     return embed.embedding_coordinates(embed.diffusion_map(spark, rows(spark, d), 3))
@@ -591,8 +627,7 @@ def umap(spark, d):
 
 @query("provenance_stages", "SELECT * FROM (VALUES ('distance', 'auto', 'executors', 'sql', 'first_eligible', false, 'executors'), ('neighbor_selection', 'auto', 'executors', 'sql', 'first_eligible', false, 'executors')) t(stage, requested_device, device, backend, selection_reason, fallback, output_device)")
 def provenance_stages(spark, d):
-    few = rows(spark, d).where("row_id <= 50")
-    return prov.provenance_frame(spark, neighbors.knn(spark, few, 5))
+    return prov.provenance_frame(spark, neighbors.knn(spark, rows(spark, d), 5))
 
 
 @query("pca_knn_flow")
