@@ -4,14 +4,16 @@ A document is a bag of passages of PASSAGE_WORDS words. Every passage is encoded
 and word statistics and hashed words; a gated attention, learned from document labels alone,
 weighs the passages, and a logistic layer scores the weighted sum of their representations.
 
-The model is fitted on the driver from at most `sample` labelled documents (those with the
-least hash of their id) with at most TRAIN_PASSAGES evenly spaced passages each; scoring takes
-every passage of every document. Only the text enters a score.
+The model is fitted on the driver from all passages of at most `sample` labelled documents
+(those with the least hash of their id); scoring takes every passage of every document. Only the
+text enters a score, and a text's score doesn't depend on the batch or partition it comes in.
 
 Edge cases: null and empty texts, and texts without words, are one passage of zeros; without
 labels of both classes every score is the share of label 1 (0.5 if there are no labels);
-repeated rows score alike; null ids count as held out and are never learned from; other
-columns of either table are ignored.
+repeated rows score alike; of several labels of one id the largest counts, and rows that share an
+id are each learned with it; null ids count as held out and are never learned from; a very long
+text is many passages, of which the driver holds those of the sample (about as many bytes as the
+text); tables without rows give none; other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from vecloom.llm.hashing import chunks, word_hashes
 
 PASSAGE_WORDS = 64
 HASHED = 64
-TRAIN_PASSAGES = 48
 SAMPLE = 4000
 HIDDEN, GATES = 16, 8
 FOLDS = 5
+#: Rows of a matrix product: fixed, so that no sum depends on how many passages come together.
+PRODUCT_ROWS = 256
 #: Bytes of each kind whose share of a passage is a feature.
 KINDS = [bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b".,;:", b"!?", b"#$%&*", b"|/\\_=+<>{}[]~^", b"\"'()-", b"\n", bytes(range(128, 192)), bytes(range(192, 256))]
 N_FEATURES = len(KINDS) + 7 + HASHED
@@ -54,9 +57,9 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         hi = end[np.append(new[1:] - 1, len(end) - 1)]
         size, words = (hi - lo).astype(np.float32), np.diff(np.append(new, len(row))).astype(np.float32)
         cuts = np.stack([lo, hi], axis=1).ravel()
-        cuts[-1] = min(cuts[-1], len(data) - 1)
+        padded = np.append(data, np.uint8(0))  # the last passage may end with the data
         for k, kind in enumerate(_KIND_TABLES):
-            flags = kind[data]
+            flags = kind[padded]
             sums = np.add.reduceat(flags, cuts, dtype=np.int32)[::2]
             x[:, k][:n] = sums / size
         at, length = np.cumsum(np.isin(np.arange(len(row)), new)) - 1, (end - first).astype(np.float32)
@@ -82,6 +85,17 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of[order], x[order]
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in blocks of one size, the last one filled up."""
+    out = np.empty((len(x), w.shape[1]))
+    for a in range(0, len(x), PRODUCT_ROWS):
+        part = x[a : a + PRODUCT_ROWS]
+        if len(part) < PRODUCT_ROWS:
+            part = np.concatenate([part, np.zeros((PRODUCT_ROWS - len(part), x.shape[1]))])
+        out[a : a + PRODUCT_ROWS] = (part @ w)[: len(x) - a]
+    return out
+
+
 class AttentionModel:
     """Gated attention over passages; fitted with Adam on the log loss."""
 
@@ -91,39 +105,46 @@ class AttentionModel:
         self.p = {"W": draw(N_FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATES), "U": draw(HIDDEN, GATES), "w": draw(GATES, 1)[:, 0], "c": draw(HIDDEN, 1)[:, 0], "d": np.zeros(1)}
         self.mean, self.scale, self.constant = np.zeros(N_FEATURES), np.ones(N_FEATURES), None
 
-    def forward(self, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Scores of the bags that begin at cuts, and the intermediate values."""
+    def normal(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
+
+    def forward(self, z: np.ndarray, cuts: np.ndarray, times=product) -> tuple[np.ndarray, dict]:
+        """Scores of the bags of normal() rows that begin at cuts, and the intermediate values."""
         p = self.p
-        z = (x - self.mean) / self.scale
-        h = np.tanh(z @ p["W"] + p["b"])
-        v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-h @ p["U"]))
-        a = (v * u) @ p["w"]
-        bag = np.zeros(len(x), int)
+        h = np.tanh(times(z, p["W"]) + p["b"])
+        v, u = np.tanh(times(h, p["V"])), 1 / (1 + np.exp(-times(h, p["U"])))
+        a = times(v * u, p["w"][:, None])[:, 0]
+        bag = np.zeros(len(z), int)
         bag[cuts[1:]] = 1
         bag = np.cumsum(bag)
         e = np.exp(a - np.maximum.reduceat(a, cuts)[bag])
         alpha = e / np.add.reduceat(e, cuts)[bag]
         r = np.add.reduceat(alpha[:, None] * h, cuts, axis=0)
-        s = 1 / (1 + np.exp(-np.clip(r @ p["c"] + p["d"][0], -30, 30)))
-        return s, {"z": z, "h": h, "v": v, "u": u, "alpha": alpha, "r": r, "bag": bag}
+        s = 1 / (1 + np.exp(-np.clip(times(r, p["c"][:, None])[:, 0] + p["d"][0], -30, 30)))
+        return s, {"h": h, "v": v, "u": u, "alpha": alpha, "r": r, "bag": bag}
+
+    def gradients(self, z: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by every parameter."""
+        p = self.p
+        s, m = self.forward(z, cuts, np.matmul)
+        err = (s - y) / len(y)
+        d_r = err[:, None] * p["c"]
+        d_alpha = np.sum(d_r[m["bag"]] * m["h"], axis=1)
+        d_a = m["alpha"] * (d_alpha - np.add.reduceat(m["alpha"] * d_alpha, cuts)[m["bag"]])
+        d_v = d_a[:, None] * p["w"] * m["u"] * (1 - m["v"] ** 2)
+        d_u = d_a[:, None] * p["w"] * m["v"] * m["u"] * (1 - m["u"])
+        d_h = (m["alpha"][:, None] * d_r[m["bag"]] + d_v @ p["V"].T + d_u @ p["U"].T) * (1 - m["h"] ** 2)
+        return {"W": z.T @ d_h, "b": d_h.sum(axis=0), "V": m["h"].T @ d_v, "U": m["h"].T @ d_u, "w": (m["v"] * m["u"]).T @ d_a, "c": m["r"].T @ err, "d": np.array([err.sum()])}
 
     def fit(self, x: np.ndarray, cuts: np.ndarray, y: np.ndarray, epochs: int = 250, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
         if len(y) == 0 or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        first, second, p = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, self.p
+        self.mean, self.scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-3
+        z, p = self.normal(x), self.p
+        first, second = {k: 0.0 for k in p}, {k: 0.0 for k in p}
         for t in range(1, epochs + 1):
-            s, m = self.forward(x, cuts)
-            err = (s - y) / len(y)
-            d_r = err[:, None] * p["c"]
-            d_alpha = np.sum(d_r[m["bag"]] * m["h"], axis=1)
-            d_a = m["alpha"] * (d_alpha - np.add.reduceat(m["alpha"] * d_alpha, cuts)[m["bag"]])
-            d_v = d_a[:, None] * p["w"] * m["u"] * (1 - m["v"] ** 2)
-            d_u = d_a[:, None] * p["w"] * m["v"] * m["u"] * (1 - m["u"])
-            d_h = (m["alpha"][:, None] * d_r[m["bag"]] + d_v @ p["V"].T + d_u @ p["U"].T) * (1 - m["h"] ** 2)
-            grads = {"W": m["z"].T @ d_h, "b": d_h.sum(axis=0), "V": m["h"].T @ d_v, "U": m["h"].T @ d_u, "w": (m["v"] * m["u"]).T @ d_a, "c": m["r"].T @ err, "d": np.array([err.sum()])}
-            for k, g in grads.items():
+            for k, g in self.gradients(z, cuts, y).items():
                 g = g + decay * p[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -131,7 +152,7 @@ class AttentionModel:
         return self
 
     def scores(self, x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        return np.full(len(cuts), self.constant) if self.constant is not None else self.forward(x, cuts)[0]
+        return np.full(len(cuts), self.constant) if self.constant is not None else self.forward(self.normal(x), cuts)[0]
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -150,7 +171,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample:
             for first, end, data, starts in chunks(batch.column("text")):
                 of, x = passages(data, starts)
                 cuts = np.searchsorted(of, np.arange(end - first + 1))
-                own = [x[a:b][np.unique(np.linspace(0, b - a - 1, TRAIN_PASSAGES).astype(int))].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                own = [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), batch.column("label").slice(first, end - first), pa.array(own, pa.binary())], names=["doc_id", "label", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
