@@ -1,15 +1,23 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on the driver from at most
-`sample` vectors (those with the least hash of their id); every row is assigned and coded.
-Lists with more than twice the mean rows are salted into cells, so no task holds a hot list. A
-query goes to the cells of its nearest lists; there asymmetric distance tables rank the codes,
-the best are re-ranked by their exact distance, and each cell returns its nearest k.
+`sample` vectors (those with the least hash of their id); every row is assigned and coded. How
+many lists a query visits is measured on the same sample: as many as hold COVERAGE of its exact
+neighbours there. Lists are gathered into cells of about CELL_ROWS rows, and a longer list is
+dealt over several, so no task holds a hot list and a query travels once to a cell. In a cell a
+query's asymmetric distance table ranks the codes of the lists that it visits; only the best
+k * RERANK are compared on the vectors themselves, and the nearest k leave the cell. Queries
+that found fewer than k rows visit all lists.
+
+Distances of codes come apart into |q - c|^2, a number kept with each code and the products of q
+with the codewords, so one table a query serves all lists.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do vectors of another length than most or rows without an id; equal distances go to the smaller
-id; copies are ordinary rows; with fewer candidates than k all are returned; other columns are
-ignored.
+do rows without an id; vectors of different lengths are no candidates of each other, and each
+length has an index of its own; equal distances go to the smaller id; of one vector's copies a
+cell ranks the k + 1 smallest ids, as no more can be among the nearest k; rows that share an id
+are candidates like others; with fewer candidates than k all are returned; tables without rows
+give none; very long vectors cost their length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +34,19 @@ from pyspark.sql.window import Window
 from vecloom.llm.common import written
 
 SAMPLE = 20_000
-PARTS, CODES = 16, 64
-#: Codes re-ranked in each cell, by the exact distance, for each neighbour wanted; ties of the last code all count.
+PARTS, CODES = 16, 256
+#: Codes whose vectors are compared in each cell, for each neighbour wanted.
 RERANK = 20
+CELL_ROWS = 16_384
+#: Share of the exact neighbours that the visited lists hold, in the sample, and how many of its rows ask.
+COVERAGE, ASKING = 0.96, 400
+SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v: rows that take part, in double precision."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    """id, v: rows that take part; single precision stays as it is, everything else becomes double."""
+    single = dict(rows.dtypes)[vector_col] == "array<float>"
+    v = F.col(vector_col) if single else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     ok = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
 
@@ -46,8 +59,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     for _ in range(rounds):
         at = nearest(x, centres)
         n = np.bincount(at, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
+        sums = np.stack([np.bincount(at, column, len(centres)) for column in x.T], axis=1)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
@@ -62,132 +74,199 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What is fitted: coarse centroids and one codebook for each part of the residuals."""
+    """What is fitted: coarse centroids, one codebook for each part of the residuals, and how many lists a query visits."""
 
     centres: np.ndarray
     books: list[np.ndarray]
     splits: np.ndarray
+    visits: int
+
+    def _parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        return zip(self.splits[:-1].tolist(), self.splits[1:].tolist(), self.books)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, and the number beside the codes: the coded residual r gives 2 c r + |r|^2."""
         at = nearest(x, self.centres)
         rest = x - self.centres[at]
-        return at, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.splits[:-1], self.splits[1:], self.books)], axis=1).astype(np.uint8)
-
-    def tables(self, q: np.ndarray, at: int) -> np.ndarray:
-        """Squared distance of each part of the queries' residuals to each code: queries x parts x codes."""
-        rest = q - self.centres[at]
-        out = np.full((len(q), len(self.books), CODES), np.inf)
-        for k, (a, b, book) in enumerate(zip(self.splits[:-1], self.splits[1:], self.books)):
-            out[:, k, : len(book)] = distances(rest[:, a:b], book)
+        codes = np.stack([nearest(rest[:, a:b], book) for a, b, book in self._parts()], axis=1).astype(np.uint8)
+        back = np.concatenate([book[codes[:, m]] for m, (_, _, book) in enumerate(self._parts())], axis=1)
+        return at, codes, (2 * self.centres[at] * back).sum(axis=1) + (back**2).sum(axis=1)
+
+    def table(self, q: np.ndarray) -> np.ndarray:
+        """-2 q r for every codeword: parts x codes."""
+        out = np.zeros((len(self.books), CODES))
+        for m, (a, b, book) in enumerate(self._parts()):
+            out[m, : len(book)] = -2 * (book @ q[a:b])
         return out
 
 
-def fit_index(vectors: DataFrame, rows: int, sample: int = SAMPLE) -> Index | None:
-    """The index over `rows` vectors; None without any."""
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not chosen:
-        return None
-    x = np.array([r["v"] for r in chosen])
-    lists = int(np.clip(np.sqrt(rows), 1, 4096))
-    centres = lloyd(x, lists)
-    rest = x - centres[nearest(x, centres)]
-    parts = min(PARTS, x.shape[1])
-    splits = np.linspace(0, x.shape[1], parts + 1).astype(int)
-    return Index(centres, [lloyd(rest[:, a:b], CODES) for a, b in zip(splits[:-1], splits[1:])], splits)
-
-
-def neighbours(spark: SparkSession, rows: DataFrame, is_query, k: int = 10, probes: float = 0.8, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def fit_index(vectors: DataFrame, rows: int, k: int, sample: int = SAMPLE, lists: int | None = None, coverage: float = COVERAGE) -> Index:
+    """The index over `rows` vectors: by default sqrt(rows) lists, but no more than a fifth of the sample."""
+    x = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], float)
+    centres = lloyd(x, lists or int(np.clip(np.sqrt(rows), 1, max(1, min(sample, len(x)) // 5))))
+    at = nearest(x, centres)
+    rest = x - centres[at]
+    splits = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
+    books = [lloyd(rest[:, a:b], CODES) for a, b in zip(splits[:-1], splits[1:])]
+    return Index(centres, books, splits, _visits(x, at, centres, k, coverage))
+
+
+def _visits(x: np.ndarray, at: np.ndarray, centres: np.ndarray, k: int, coverage: float) -> int:
+    """The least number of nearest lists that hold `coverage` of the k nearest of the sample's first rows."""
+    asking = np.arange(min(ASKING, len(x)))
+    d = distances(x[asking], x)
+    d[asking, asking] = np.inf
+    k = min(k, len(x) - 1)
+    if k == 0:
+        return 1
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(distances(x[asking], centres), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(rank, at[near], axis=1).ravel())
+    return int(needed[int(np.ceil(coverage * len(needed))) - 1]) + 1
+
+
+def neighbours(spark: SparkSession, rows: DataFrame, is_query, k: int = 10, visits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest k of the other rows by Euclidean distance.
 
-    probes is the share of the lists that a query visits (at least 8 of them).
+    visits is the number of lists a query goes to; by default it is measured.
     """
     vectors = usable(rows, id_col, vector_col)
-    lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    dim, total = lengths[0]["n"], lengths[0]["count"]
-    vectors = vectors.where(F.size("v") == dim)
-    index = fit_index(vectors, total, sample)
+    lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()
+    out = spark.createDataFrame([], SCHEMA)
+    for n, total in lengths:
+        out = out.union(_of_length(spark, vectors.where(F.size("v") == n), n, total, is_query, k, visits, sample))
+    return out
+
+
+def _of_length(spark: SparkSession, vectors: DataFrame, dim: int, total: int, is_query, k: int, visits: int | None, sample: int) -> DataFrame:
+    index = fit_index(vectors, total, k, sample)
+    kind = np.float32 if dict(vectors.dtypes)["v"] == "array<float>" else np.float64
     lists = len(index.centres)
-    visits = min(lists, max(8, int(np.ceil(probes * lists))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, codes = index.encode(_matrix(batch.column("v"), dim))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "list", "code"])
-
-    coded = written(vectors.mapInArrow(assign, "id long, v array<double>, list int, code binary"), spark, "ann-coded")
-    full = max(64, 2 * total // lists)
-    sizes = coded.groupBy("list").count().select("list", F.ceil(F.col("count") / full).cast("int").alias("salts"))  # one row for each list, at most 4096
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                near = np.argpartition(distances(_matrix(part.column("v"), dim), index.centres), visits - 1, axis=1)[:, :visits]
-                take = pa.array(np.repeat(np.arange(part.num_rows), visits))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("v").take(take), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "list"])
-
-    queries = vectors.where(is_query(F.col("id"))).mapInArrow(route, "id long, v array<double>, list int")
-    sizes = F.broadcast(sizes)
-    asked = queries.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("code"))
-    held = coded.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("asks"), "id", "v", "code")
-    cells = held.union(asked).repartition("list", "salt").sortWithinPartitions("list", "salt", "asks", "id")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells come sorted, their rows before their queries: a cell's rows are held while its queries pass in blocks."""
-        cell, ids, x, codes = None, [], [], []
-        ready = False
-        for batch in batches:
-            key = batch.column("list").to_numpy().astype(np.int64) << 33 | batch.column("salt").to_numpy().astype(np.int64) << 1 | batch.column("asks").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a == b:
-                    continue
-                part, this = batch.slice(a, b - a), int(key[a]) >> 1
-                if this != cell:
-                    cell, ids, x, codes, ready = this, [], [], [], False
-                if not key[a] & 1:
-                    ids.append(part.column("id").to_numpy())
-                    x.append(_matrix(part.column("v"), dim))
-                    codes.append(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(part), -1))
-                    continue
-                if not ids:
-                    continue
-                if not ready:
-                    ids, x, codes, ready = [np.concatenate(ids)], [np.concatenate(x)], [np.concatenate(codes)], True
-                for c in range(0, len(part), 256):
-                    yield from _cell(index, this >> 32, ids[0], x[0], codes[0], part.slice(c, 256), dim, k)
-
-    best = cells.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _cell(index: Index, at: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, part: pa.RecordBatch, dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The nearest k of a cell's rows for a block of queries."""
-    asked, q = part.column("id").to_numpy(), _matrix(part.column("v"), dim)
-    tables = index.tables(q, at)
-    rough = sum(tables[:, m, :][:, codes[:, m]] for m in range(codes.shape[1]))
-    rough[asked[:, None] == ids[None, :]] = np.inf
-    most = min(k * RERANK, len(ids))
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(asked)):
-        if most < len(ids):
-            # A code shared by many copies is cut by id, as the exact order would.
-            take = np.lexsort((ids, rough[i]))[:most]
-        else:
-            take = np.arange(len(ids))
-        take = take[ids[take] != asked[i]]
-        exact = np.sqrt(((x[take] - q[i]) ** 2).sum(axis=1))
-        first = np.lexsort((ids[take], exact))[:k]
-        out_q.append(np.full(len(first), asked[i]))
-        out_v.append(ids[take][first])
-        out_s.append(exact[first])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], names=["query_id", "vec_id", "score"])
+                x = _matrix(batch.column("v"), dim)
+                at, codes, beside = index.encode(x.astype(float))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(x), pa.array(at.astype(np.int32)), _packed(codes), pa.array(beside), batch.column("same")], names=["id", "v", "list", "code", "beside", "same"])
+
+    same = vectors.withColumn("same", F.xxhash64("v"))
+    coded = written(same.mapInArrow(assign, "id long, v binary, list int, code binary, beside double, same long"), spark, "ann-coded")
+    sizes = np.ones(lists, int)
+    for r in coded.groupBy("list").count().collect():  # one row for each list
+        sizes[r["list"]] = max(1, -(-r["count"] // CELL_ROWS))
+    cells = int(np.clip(total // CELL_ROWS, 1, lists))
+    salts = F.element_at(F.array(*[F.lit(int(s)) for s in sizes]), F.col("list") + 1) if sizes.max() > 1 else F.lit(1)
+    place = [F.pmod("list", F.lit(cells)).alias("cell"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")]
+    held = coded.select(*place, F.lit(0).alias("asks"), "id", "v", "list", "code", "beside", "same")
+    queries = coded.where(is_query(F.col("id"))).select("id", "v")
+
+    def searched(asking: DataFrame, visits: int) -> DataFrame:
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each query once for every cell that holds a part of a list that it visits."""
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    q = _unpacked(part.column("v"), kind).astype(float)
+                    near = np.argpartition(distances(q, index.centres), visits - 1, axis=1)[:, :visits]
+                    row, cell, salt, wanted = [], [], [], []
+                    for i, own in enumerate(near):
+                        own = np.sort(own)
+                        for s in range(int(sizes[own].max())):
+                            there = own[sizes[own] > s]
+                            for c in np.unique(there % cells).tolist():
+                                row.append(i)
+                                cell.append(c)
+                                salt.append(s)
+                                wanted.append(there[there % cells == c].astype(np.int32).tobytes())
+                    take = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(salt, pa.int32()), part.column("id").take(take), part.column("v").take(take), pa.array(wanted, pa.binary())], names=["cell", "salt", "id", "v", "code"])
+
+        none = F.lit(None)
+        asked = asking.mapInArrow(route, "cell int, salt int, id long, v binary, code binary").select("cell", "salt", F.lit(1).alias("asks"), "id", "v", none.cast("int").alias("list"), "code", none.cast("double").alias("beside"), none.cast("long").alias("same"))
+        dealt = held.union(asked).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "asks", "id")
+        best = dealt.mapInArrow(lambda batches: _search(index, batches, kind, k), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), spark, "ann-found")
+
+    visits = min(lists, visits or index.visits)
+    found = searched(queries, visits)
+    if visits == lists:
+        return found
+    enough = found.where(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("id"))
+    few = written(queries.join(enough, "id", "left_anti"), spark, "ann-few")
+    if few.isEmpty():
+        return found
+    return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*found.columns).union(searched(few, lists))
+
+
+def _search(index: Index, batches: Iterator[pa.RecordBatch], kind: type, k: int) -> Iterator[pa.RecordBatch]:
+    """Cells come sorted, their rows before their queries: a cell's rows are held while its queries pass."""
+    at, held, cell = None, [], None
+    for batch in batches:
+        key = batch.column("cell").to_numpy().astype(np.int64) << 33 | batch.column("salt").to_numpy().astype(np.int64) << 1 | batch.column("asks").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if int(key[a]) >> 1 != at:
+                at, held, cell = int(key[a]) >> 1, [], None
+            if not key[a] & 1:
+                held.append(batch.slice(a, b - a))
+            elif held:
+                cell = cell or _Cell(index, pa.Table.from_batches(held).combine_chunks(), kind, k)
+                yield from cell.answers(batch.slice(a, b - a))
+
+
+class _Cell:
+    """One cell's rows by list, and what its queries find in it."""
+
+    def __init__(self, index: Index, rows: pa.Table, kind: type, k: int):
+        self.index, self.kind, self.k = index, kind, k
+        ids, same, at = (rows.column(c).to_numpy() for c in ("id", "same", "list"))
+        order = np.lexsort((ids, same))
+        first = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+        copy = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        order = order[copy <= k]  # more copies of one vector can't be among the nearest k
+        order = order[np.argsort(at[order], kind="stable")]
+        take = pa.array(order)
+        self.ids, self.at, self.beside = ids[order], at[order], rows.column("beside").to_numpy()[order]
+        self.codes = np.ascontiguousarray(_unpacked(rows.column("code").take(take).combine_chunks(), np.uint8).T)
+        self.x = _unpacked(rows.column("v").take(take).combine_chunks(), kind)
+
+    def answers(self, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out_q, out_v, out_s = [], [], []
+        for me, v, wanted in zip(asked.column("id").to_pylist(), asked.column("v").to_pylist(), asked.column("code").to_pylist()):
+            q, lists = np.frombuffer(v, self.kind).astype(float), np.frombuffer(wanted, np.int32)
+            low, high = np.searchsorted(self.at, lists), np.searchsorted(self.at, lists, "right")
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
+            rows = rows[self.ids[rows] != me]
+            if not len(rows):
+                continue
+            near = ((self.index.centres[lists] - q) ** 2).sum(axis=1)
+            rough = near[np.searchsorted(lists, self.at[rows])] + self.beside[rows]
+            table = self.index.table(q)
+            for m, codes in enumerate(self.codes):
+                rough += table[m][codes[rows]]
+            most = self.k * RERANK
+            if most < len(rows):
+                rows = rows[np.argpartition(rough, most - 1)[:most]]
+            exact = np.sqrt(((self.x[rows].astype(float) - q) ** 2).sum(axis=1))
+            best = np.lexsort((self.ids[rows], exact))[: self.k]
+            out_q.append(np.full(len(best), me))
+            out_v.append(self.ids[rows][best])
+            out_s.append(exact[best])
+        if out_q:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
