@@ -7,9 +7,14 @@ allows a link is compared with one pivot on the full sets, and the links give co
 Texts of one pivot that are still in different components are then compared with each other,
 exactly, by their short differences to the pivot. So a group of near copies costs about its size, and no pair is cut off.
 
+Sets are of 64-bit hashes of shingles, and links are confirmed on all of both sets' hashes.
+
 Edge cases: null texts count as empty; empty texts and texts without words have an empty set
 and link with nothing; texts with fewer words than a shingle are one shingle; repeated rows
-are copies; rows with a null id keep a null component; other columns are ignored.
+are copies; rows that share an id but not a text are documents of their own, and a component's
+id is the smallest doc_id in it; rows with a null id keep a null component and link with nothing;
+a similarity of exactly the threshold links; a very long text's set is held by one task; tables
+without rows give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import written
+from vecloom.llm.common import mark_of, written
 from vecloom.llm.components import components
 from vecloom.llm.hashing import chunks, mixed, word_hashes
 
@@ -110,41 +115,47 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, table:
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
+def print_of(distinct: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(distinct.tobytes())
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, print (128 bits of the whole set), sketch; the last two null for an empty set."""
+    """doc_id, mark (of the text), n_shingles, print (128 bits of the whole set), sketch; the last two null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prints, out = [], [], []
-            for first, end, data, starts in chunks(batch.column(1)):
+            for first, end, data, starts in chunks(batch.column(2)):
                 rows, h = shingles(data, starts)
                 cut = np.searchsorted(rows, np.arange(end - first + 1))
                 for k in range(end - first):
                     own = np.unique(h[cut[k] : cut[k + 1]])
                     sizes.append(len(own))
-                    prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                    prints.append(print_of(own) if len(own) else None)
                     out.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "n_shingles", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "mark", "n_shingles", "print", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark_of(F.col(text_col)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, print binary, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, items: the whole set of 64-bit shingle hashes."""
+    """doc_id, print, items: the whole set of 64-bit shingle hashes; no row for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, starts in chunks(batch.column(1)):
                 rows, h = shingles(data, starts)
                 cut = np.searchsorted(rows, np.arange(end - first + 1))
-                sets = [np.unique(h[cut[k] : cut[k + 1]]).view(np.int64) for k in range(end - first)]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                take = [k for k in range(end - first) if cut[k] < cut[k + 1]]
+                sets = [np.unique(h[cut[k] : cut[k + 1]]) for k in take]
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "items"])
+                ids = batch.column(0).take(pa.array([first + k for k in take], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([print_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "print", "items"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, items array<long>")
+    return rows.mapInArrow(run, "doc_id long, print binary, items array<long>")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -165,17 +176,20 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
-def sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of all texts in pairs (a, b)."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), spark, "near-ids")
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(small, "rep", "left_semi")
-    return written(shingle_sets(texts, "rep").dropDuplicates(["doc_id"]), spark, "near-sets")
+def sets_of(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rep, items: the full sets of all classes in pairs (a, b), each from the text of its smallest id."""
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = written(classes.select("rep", "doc_id", "print").join(reps, "rep", "left_semi"), spark, "near-wanted")
+    ids = wanted.select("doc_id").distinct()
+    small = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small, "doc_id", "left_semi")
+    found = shingle_sets(texts, "doc_id").join(wanted, ["doc_id", "print"])  # another text of that id has another print
+    return written(found.select("rep", "items").dropDuplicates(["rep"]), spark, "near-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"i_{k}"))
+    side = lambda k: sets.select(F.col("rep").alias(k), F.col("items").alias(f"i_{k}"))
     both = F.size(F.array_intersect("i_a", "i_b"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("i_a") + F.size("i_b")).alias("sum"))
     return joined.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
@@ -183,7 +197,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def common_items(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, size, common: the items that any other set of reps has too. Counted before the shuffle, and linear."""
-    own = sets.select(F.col("doc_id").alias("rep"), "items").join(reps, "rep", "left_semi")
+    own = sets.join(reps, "rep", "left_semi")
     placed = own.select("rep", F.explode("items").alias("item"))
     twice = placed.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
     common = placed.join(twice, "item").groupBy("rep").agg(F.collect_list("item").alias("common"))
@@ -202,7 +216,7 @@ def links_left_open(spark: SparkSession, stars: DataFrame, labels: DataFrame, se
     sizes = told.groupBy("pivot", "component").count().groupBy("pivot").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("n"))
     home = written(sizes.where("parts > 1").select("pivot", F.col("m.component").alias("main"), F.ceil(F.col("n") / SPLIT).cast("int").alias("salts")), spark, "near-home")
     open_ = written(told.join(home, "pivot"), spark, "near-open")
-    own = open_.join(common_items(sets, open_.select("rep").distinct()), "rep").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("p")), "pivot")
+    own = open_.join(common_items(sets, open_.select("rep").distinct()), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("p")), "pivot")
     has = F.array_intersect("p", "common")
     own = own.withColumn("has", has).withColumn("near", F.size("has") * 2 >= F.size("p"))
     part = F.when(F.col("near"), F.array_except("p", "has")).otherwise(F.col("has"))
@@ -223,11 +237,17 @@ def links_left_open(spark: SparkSession, stars: DataFrame, labels: DataFrame, se
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row: documents with 100 * shared >= percent * union are linked."""
+    """doc_id, n_shingles, component_id, kept, mark, part for each row: documents with 100 * shared >= percent * union are linked.
+
+    mark tells apart rows that share an id, and part is the component's own number, which differs
+    for components of one smallest id; null where a row links with nothing by rule.
+    """
     base = written(sketches(docs, id_col, text_col), spark, "near-sketches")
-    some = base.where("n_shingles > 0 and doc_id is not null")
+    linkable = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
+    some = base.where(linkable)
     classes = some.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"))
-    classes = written(classes.select("print", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.sketch"), spark, "near-classes")
+    # Written once, so that rep stays what it is.
+    classes = written(classes.select("print", F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), "x.sketch"), spark, "near-classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = classes.select("rep", F.explode(keys).alias("key"))
@@ -235,14 +255,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_
     members = written(banded.join(buckets, "key"), spark, "near-buckets")
 
     stars = written(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), spark, "near-stars")
-    sets = sets_of(spark, docs, stars, id_col, text_col)
+    sets = sets_of(spark, docs, classes, stars, id_col, text_col)
     links = written(confirmed(plausible(stars, classes, percent), sets, percent), spark, "near-links")
     labels = components(spark, links)
     more = written(links_left_open(spark, stars, labels, sets, percent), spark, "near-more")
     if not more.isEmpty():
         labels = components(spark, links.union(more))
 
-    named = classes.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = classes.select("print", "rep", "doc_id").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", "doc_id", F.coalesce("component", "rep").alias("part"))
+    named = placed.select("print", "part").join(placed.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part")
+    out = some.select("doc_id", "n_shingles", "mark", "print").join(named, "print").select("doc_id", "n_shingles", "component_id", "mark", "part")
+    # Rows without words, however many, don't meet in one key.
+    alone = base.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("long").alias("part"))
+    return out.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "mark", "part")
