@@ -7,8 +7,11 @@ all stand in place is a *phrase* match; one whose words all stand nearby, in any
 *near* match. Only built-in DataFrame functions are used.
 
 Edge cases: null and empty texts have no words; an item without words has no window; an item
-shorter than the window is one window; rows that share an id count as one document; null ids
-never match; other columns of either table are ignored. Nothing is capped.
+shorter than the window is one window; items without an id are left out; each row is a document
+of its own, also if it shares its id or has none; repeated rows have equal results; a very long
+text's postings are rows of their own, each with the few words around it; tables without rows
+give none, and without items nothing is hit; other columns of either table are ignored. Nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import text_or_empty, written
+from vecloom.llm.common import mark_of, of_rows, text_or_empty, written
 
 #: What separates words: ASCII other than letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,19 +63,33 @@ def lead_terms(spark: SparkSession, docs: DataFrame, windows: DataFrame, text_co
     return known.where("lead.df > 0").select("phrase", "n", "lead.term", "lead.offset")
 
 
+#: A row of the documents: its id, if any, and 64 bits of its text.
+ROW = ["doc_id", "mark"]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), mark_of(F.col(text_col)).alias("mark"), words_of(text_or_empty(text_col)).alias("words"))
+
+
 def postings(spark: SparkSession, docs: DataFrame, leads: DataFrame, width: int = 8, slop: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: term, doc_id, pos, and the words around with the first one's position."""
-    terms = leads.select("term").distinct()
+    """The index: term, doc_id, mark, pos, and the words around with the first one's position."""
+    terms = written(leads.select("term").distinct(), spark, "decontam-lead-terms")
     reach = width - 1 + slop
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
-    placed = words.select("doc_id", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", F.lower("word"))
+    rows, small = _rows(docs, id_col, text_col), if_small(terms, "term")
     first = F.greatest(F.col("pos") - reach, F.lit(0))
-    found = placed.join(if_small(terms, "term"), "term").select("term", "doc_id", "pos", first.alias("first"), ascii_lower(F.concat_ws(" ", F.slice("words", first + 1, F.lit(2 * reach + 1)))).alias("around"))
-    return written(found, spark, "decontam-postings")
+    around = ascii_lower(F.concat_ws(" ", F.slice("words", first + 1, F.lit(2 * reach + 1))))
+    if small is terms:  # too many to broadcast: only places are shuffled to the terms, and a text goes once to its places
+        each = rows.select(*ROW, F.posexplode("words").alias("pos", "word")).select(*ROW, "pos", F.lower("word").alias("term"))
+        spots = each.join(terms, "term").groupBy(*ROW).agg(F.array_distinct(F.collect_list(F.struct("pos", "term"))).alias("spots"))
+        at = F.inline("spots").alias("pos", "term")
+        found = of_rows(rows, spots).select(*ROW, "words", at)
+    else:
+        found = rows.select(*ROW, "words", F.posexplode("words").alias("pos", "word")).withColumn("term", F.lower("word")).join(small, "term")
+    return written(found.select("term", *ROW, "pos", first.alias("first"), around.alias("around")), spark, "decontam-postings")
 
 
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 8, slop: int = 2, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, phrase, start, n, kind: every phrase match, and near matches of windows at other places. start counts words from 0."""
+    """doc_id, mark, phrase, start, n, kind: every phrase match, and near matches of windows at other places. start counts words from 0."""
     windows = item_windows(items, width, item_id, item_text)
     leads = written(lead_terms(spark, docs, windows, text_col), spark, "decontam-leads")
     index = postings(spark, docs, leads, width, slop, id_col, text_col)
@@ -83,11 +100,11 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int =
     low = F.greatest(at - slop, F.lit(0))
     near = F.size(F.array_except(wanted, F.slice(around, low + 1, F.greatest(at + F.col("n") + slop - low, F.lit(0))))) == 0
     kind = F.when(exact, "phrase").when(near, "near")
-    return joined.select("doc_id", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "n", kind.alias("kind")).where("kind is not null")
+    return joined.select(*ROW, "phrase", (F.col("pos") - F.col("offset")).alias("start"), "n", kind.alias("kind")).where("kind is not null")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 8, slop: int = 2, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), n_near, contaminated for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), n_near, contaminated, mark (of the text) for each row of docs."""
     found = written(matches(spark, docs, items, width, slop, id_col, text_col, item_id, item_text), spark, "decontam-matches")
     spans = F.array_sort(F.collect_set(F.when(F.col("kind") == "phrase", F.struct("start", (F.col("start") + F.col("n")).alias("end")))))
     covered = F.aggregate(
@@ -96,10 +113,11 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
         lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["hit"] + F.greatest(x["end"] - F.greatest(x["start"], s["end"]), F.lit(0))).alias("hit")),
         lambda s: s["hit"],
     )
-    hits = found.groupBy("doc_id").agg(covered.cast("long").alias("n_hit"), F.count_distinct(F.when(F.col("kind") == "near", F.col("phrase"))).alias("n_near"))
-    of_items = found.where("kind = 'phrase'").select("doc_id", "phrase").distinct().join(item_windows(items, width, item_id, item_text).select("phrase", F.col("item_id").cast("string").alias("item")), "phrase")
-    named = of_items.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("n_words"))
-    out = base.join(hits, "doc_id", "left").join(named, "doc_id", "left")
+    hits = found.groupBy(*ROW).agg(covered.cast("long").alias("n_hit"), F.count_distinct(F.when(F.col("kind") == "near", F.col("phrase"))).alias("n_near"))
+    of_items = found.where("kind = 'phrase'").select(*ROW, "phrase").distinct().join(item_windows(items, width, item_id, item_text).select("phrase", F.col("item_id").cast("string").alias("item")), "phrase")
+    named = of_items.groupBy(*ROW).agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    hits = written(of_rows(hits, named, "left"), spark, "decontam-hits")
+    base = _rows(docs, id_col, text_col).select(*ROW, F.size("words").cast("long").alias("n_words"))
+    out = of_rows(base, hits, "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.coalesce("n_near", F.lit(0)).alias("n_near"), (F.size(ids) >= least_items).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.coalesce("n_near", F.lit(0)).alias("n_near"), (F.size(ids) >= least_items).alias("contaminated"), "mark")
