@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vecloom.llm.common import table, written
-from vecloom.llm.decontam import contamination, words_of
+from vecloom.llm.common import mark_of, table, written
+from vecloom.llm.decontam import contamination
 from vecloom.llm.lines import drop_boilerplate
 from vecloom.llm.neardup import near_duplicates
 from vecloom.llm.packing import packed
@@ -34,27 +35,44 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates; of rows that share an id, one."""
-    found = written(near_duplicates(spark, docs), spark, "pipeline-near")
-    kept = _without(docs, written(found.where("not kept").select("doc_id").distinct(), spark, "pipeline-dropped"))
-    shared = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), spark, "pipeline-shared")
-    if shared.isEmpty():
-        return kept
-    return _without(kept, shared).union(kept.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Of rows that share that id, the one with the least text hash stays, and of rows with one id and
+    one text the first by the other columns. Documents without words or without an id all stay.
+    """
+    found = written(near_duplicates(spark, docs).select("doc_id", "mark", "part", "kept"), spark, "pipeline-near")
+    again = found.where("kept and part is not null").groupBy("part").agg(F.count("*").alias("rows"), F.min("mark").alias("first")).where("rows > 1")
+    again = written(again, spark, "pipeline-again")
+    dropped = found.where("not kept")
+    if again.isEmpty():
+        return _without(spark, docs, dropped)
+    shared = found.where("kept").join(again, "part")
+    left = _without(spark, docs, dropped.union(shared.where("mark <> first").select(*dropped.columns)))
+    one = shared.where("mark = first").select("doc_id", "mark").distinct()
+    plain, names, same = _renamed(docs)
+    order = Window.partitionBy(names["doc_id"], mark_of(F.col(names["text"]))).orderBy(*[F.col(c).cast("string") for c in names.values()])
+    first = plain.join(one, same(one), "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return _without(spark, left, one).union(first.select(*names.values()).toDF(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item: one window of eight words is enough, and shorter items don't count."""
-    items = table(spark, sf_dir, "benchmark").where(F.size(words_of(F.coalesce("text", F.lit("")))) >= 8)
-    found = contamination(spark, docs, items, least_items=1)
-    dropped = written(found.where("contaminated").select("doc_id").distinct(), spark, "pipeline-contaminated")
-    return _without(docs, dropped)
+    """Documents without a passage of a benchmark item: one window of eight words, or the whole of a shorter item, is enough."""
+    found = contamination(spark, docs, table(spark, sf_dir, "benchmark"), least_items=1)
+    return _without(spark, docs, found.where("contaminated"))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without these ids, which are broadcast only if they are few."""
-    few = F.broadcast(dropped) if dropped.count() <= 2_000_000 else dropped
-    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+def _renamed(docs: DataFrame):
+    """docs under names that clash with none made here, those names, and the condition that a row is one of a table of doc_id and mark."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    return plain, names, lambda found: plain[names["doc_id"]].eqNullSafe(found["doc_id"]) & (mark_of(plain[names["text"]]) == found["mark"])
+
+
+def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without these rows (doc_id and mark), which are broadcast only if they are few."""
+    dropped = written(dropped.select("doc_id", "mark").distinct(), spark, "pipeline-dropped")
+    plain, _, same = _renamed(docs)
+    return plain.join(F.broadcast(dropped) if dropped.count() <= 2_000_000 else dropped, same(dropped), "left_anti").toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
