@@ -1,22 +1,26 @@
 """Chat formatting: roles recovered from plain transcripts, then canonical rendering.
 
-A hidden Markov model runs over the lines of a conversation. A state is a role and whether the
-line opens a turn or goes on with it; what is seen of a line is its speaker marker, whether it
-begins a block of the input, its length, a closing question mark, and whether it is the first.
-Emissions and transitions are counted on labelled conversations; Viterbi finds the likeliest
+A hidden Markov model runs over the lines of a conversation, of which a row may hold one turn or
+a whole transcript. A state is a role and whether the line opens a turn or goes on with it; what
+is seen of a line is its speaker marker, whether it begins a row, its length, a closing question
+mark, and whether it is the first. Emissions and transitions are counted on labelled
+conversations, as they are and once more as transcripts with markers of which some are missing
+and some wrong; so a marker is strong evidence but no proof. Viterbi finds the likeliest
 states. Conversations are handled in blocks of BLOCK turn numbers: each block gives a matrix of
 best scores between states, the matrices of a conversation are chained, and the blocks are then
 decoded between the states so fixed. So the result is the exact best path, and no task holds a
 whole long conversation.
 
-Edge cases: null and empty texts are one empty line; rows with the same turn come in the order of
-their texts; null conversations are one conversation, null turns come first; without labelled rows
-the counts are the smoothing alone and markers decide; tables without rows give none; other columns
-are ignored.
+Edge cases: null and empty texts are one empty line; every row opens a turn; rows with the same
+turn come in the order of their texts; rows without a conversation or without a turn number stand
+alone, each a conversation of its own; without labelled rows the smoothing decides, that is the
+markers; a very long text is decoded by one task; tables without rows give none; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +40,13 @@ MARKERS = [
     regex.compile(r"\s*(?:<\|user\|>|\[user\]|\[INST\]|#+\s*(?:user|human|question)|\**(?:user|human|customer|question|q|me)\**\s*[:>])\s*", regex.I),
     regex.compile(r"\s*(?:<\|assistant\|>|\[assistant\]|\[/INST\]|#+\s*(?:assistant|response|answer)|\**(?:assistant|ai|bot|agent|answer|a|model)\**\s*[:>])\s*", regex.I),
 ]
-#: How many values each feature has: marker, begins a block, length, question, first line.
-WIDTHS = (len(ROLES) + 1, 2, 5, 2, 2)
+#: How many values each feature has: marker, place, length, question, first line.
+WIDTHS = (len(ROLES) + 1, 3, 5, 2, 2)
+#: A line's place: inside a transcript that is one row, at the beginning of a row, inside one of several rows.
+INSIDE, BEGINS, WITHIN = range(3)
 SMOOTHING = 0.5
-#: What a marker of a role counts for beside the labelled lines.
-MARKER_COUNT = 200.0
+#: Of 20 openings of a made transcript, so many have the right marker, a wrong one and none; as many count as smoothing.
+RIGHT, WRONG, NONE = 14, 2, 4
 
 
 def marker_of(line: str) -> tuple[int, int]:
@@ -51,9 +57,16 @@ def marker_of(line: str) -> tuple[int, int]:
     return 0, 0
 
 
-def seen(line: str, begins: bool, first: bool) -> tuple[int, ...]:
+def seen(line: str, place: int, first: bool) -> tuple[int, ...]:
     size = len(line.split())
-    return marker_of(line)[0], int(begins), 0 if size == 0 else 1 if size < 8 else 2 if size < 25 else 3 if size < 60 else 4, int(line.rstrip().endswith("?")), int(first)
+    return marker_of(line)[0], place, 0 if size == 0 else 1 if size < 8 else 2 if size < 25 else 3 if size < 60 else 4, int(line.rstrip().endswith("?")), int(first)
+
+
+def made_marker(conv: int, turn: int, role: int) -> int:
+    """The marker (as marker_of gives it) of a turn in a made transcript: the role's own, another one or none."""
+    draw = zlib.crc32(f"{conv}:{turn}".encode())
+    place = draw % (RIGHT + WRONG + NONE)
+    return role if place < RIGHT else 0 if place < RIGHT + NONE else (role - 1 + 1 + draw // 32 % (len(ROLES) - 1)) % len(ROLES) + 1
 
 
 class RoleModel:
@@ -68,10 +81,11 @@ class RoleModel:
                     n[state, value] += c
             if f == 0:
                 for k in range(len(ROLES)):
-                    n[2 * k, k + 1] += MARKER_COUNT + 0.02 * n[2 * k].sum()
-                    n[2 * k + 1, 1:] = SMOOTHING * 1e-3
+                    n[2 * k] += [NONE, *(RIGHT if j == k else WRONG / 2 for j in range(len(ROLES)))]
+                    n[2 * k + 1, 0] += RIGHT + WRONG + NONE
             if f == 1:
-                n[1::2, 1] = SMOOTHING * 1e-3  # a line that begins a block opens a turn
+                n[1::2, BEGINS] = SMOOTHING * 1e-3  # a line that begins a row opens a turn
+                n[::2, WITHIN] += 0.01 * n[::2].sum(axis=1)  # inside one of several rows only a marker opens one
             if f == 4:
                 n[1::2, 1] = SMOOTHING * 1e-3
             self.emission.append(np.log(n / n.sum(axis=1, keepdims=True)))
@@ -126,10 +140,13 @@ def fit_roles(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int, int, int], int] = {}
         for batch in batches:
-            for turn, text, role in zip(batch.column("t").to_pylist(), batch.column("text").to_pylist(), batch.column("role").to_pylist()):
+            for conv, turn, text, role in zip(batch.column("c").to_pylist(), batch.column("t").to_pylist(), batch.column("text").to_pylist(), batch.column("role").to_pylist()):
                 lines = text.split("\n")
+                made = made_marker(conv, turn, role)
                 for k, line in enumerate(lines):
-                    for f, v in enumerate(seen(line, k == 0, k == 0 and turn == 0)):
+                    first, plain = k == 0 and turn == 0, seen(line, WITHIN if k else BEGINS, k == 0 and turn == 0)
+                    in_text = (made if k == 0 else plain[0], BEGINS if first else INSIDE, *plain[2:])
+                    for f, v in [*enumerate(plain), *enumerate(in_text)]:
                         key = ("e", 2 * (role - 1) + (k > 0), f, v)
                         counts[key] = counts.get(key, 0) + 1
                 for key, n in ((("l", role - 1, 0, 0), 1), (("l", role - 1, 1, 0), len(lines) - 1), (("s", role - 1, 0, 0), int(turn == 0))):
@@ -146,11 +163,11 @@ def fit_roles(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one conversation and block after another; they come sorted."""
+    """Rows of one conversation and block after another; they come sorted. Rows that stand alone have no block."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (held[-1]["c"], held[-1]["block"]) != (row["c"], row["block"]):
+            if held and (row["block"] is None or (held[-1]["c"], held[-1]["block"]) != (row["c"], row["block"])):
                 yield held
                 held = []
             held.append(row)
@@ -158,25 +175,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _lines(rows: list[dict], first: bool) -> tuple[list[tuple[int, str]], np.ndarray]:
+def _lines(rows: list[dict], first: bool, several: bool) -> tuple[list[tuple[int, str]], np.ndarray]:
     lines = [(k, line) for k, r in enumerate(rows) for line in r["text"].split("\n")]
-    return lines, np.array([seen(line, i == 0 or lines[i - 1][0] != k, first and i == 0) for i, (k, line) in enumerate(lines)])
+    inside = WITHIN if several else INSIDE
+    return lines, np.array([seen(line, BEGINS if i == 0 or lines[i - 1][0] != k else inside, first and i == 0) for i, (k, line) in enumerate(lines)])
 
 
 def parse_transcripts(spark: SparkSession, rows: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conv_id, turn, part, role, content: each recovered turn. A row of the input gives one part or more."""
     base = rows.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("block", F.coalesce(F.floor(F.col("t") / BLOCK), F.lit(-(2**62))))
-    spans = base.groupBy("c", "block").agg(F.lit(1)).groupBy("c").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    base = base.withColumn("block", F.when(F.col("c").isNotNull(), F.floor(F.col("t") / BLOCK)))
+    spans = base.where("block is not null").groupBy("c", "block").agg(F.lit(1)).groupBy("c").agg(F.min("block").alias("low"), F.max("block").alias("high"))
     many = written(spans.where("low < high").select("c", "low"), spark, "chat-long")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition("c", "block").sortWithinPartitions("c", "block", "t", "text")
+        alone = F.when(F.col("block").isNull(), F.xxhash64("text", "c"))  # these needn't meet
+        return df.withColumn("alone", alone).repartition("c", "block", "alone").sortWithinPartitions("c", "block", "t", "text")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             first = group[0]["block"] == group[0]["low"]
-            m = model.matrix(model.emissions(_lines(group, first)[1]), first)
+            m = model.matrix(model.emissions(_lines(group, first, True)[1]), first)
             yield pa.RecordBatch.from_arrays([pa.array([group[0]["c"]], pa.int64()), pa.array([group[0]["block"]], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["c", "block", "m"])
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +225,7 @@ def parse_transcripts(spark: SparkSession, rows: DataFrame, model: RoleModel, co
         if held is not None:
             yield done(*held)
 
-    same = base["c"].eqNullSafe(many["c"])
-    long_rows = base.join(many, same).select(base["c"], "t", "text", "block", "low")
+    long_rows = base.join(many, "c").where("block is not null").select("c", "t", "text", "block", "low")
     scores = dealt(long_rows).mapInArrow(matrices, "c long, block long, m array<double>")
     fixed = written(scores.repartition("c").sortWithinPartitions("c", "block").mapInArrow(chained, "c long, block long, before int, last int"), spark, "chat-chained")
 
@@ -215,7 +233,7 @@ def parse_transcripts(spark: SparkSession, rows: DataFrame, model: RoleModel, co
         for group in _groups(batches):
             before, last = group[0]["before"], group[0]["last"]
             first = before is None or before < 0
-            lines, features = _lines(group, first)
+            lines, features = _lines(group, first, before is not None or len(group) > 1)
             states = model.path(model.emissions(features), None if first else before, last)
             out: list[list] = []
             for (k, line), s in zip(lines, states.tolist()):
@@ -226,10 +244,10 @@ def parse_transcripts(spark: SparkSession, rows: DataFrame, model: RoleModel, co
                     out.append([k, out[-1][1] + 1 if out and out[-1][0] == k else 0, ROLES[s // 2], [line[cut:]]])
             yield pa.RecordBatch.from_arrays([pa.array([group[0]["c"]] * len(out), pa.int64()), pa.array([group[o[0]]["t"] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()), pa.array(["\n".join(o[3]).strip() for o in out], pa.string())], names=["conv_id", "turn", "part", "role", "content"])
 
-    placed = base.alias("b").join(fixed.alias("f"), F.col("b.c").eqNullSafe(F.col("f.c")) & (F.col("b.block") == F.col("f.block")), "left").select("b.c", "b.t", "b.text", "b.block", "f.before", "f.last")
-    return dealt(placed).mapInArrow(decode, "conv_id long, turn long, part int, role string, content string")
+    return dealt(base.join(fixed, ["c", "block"], "left").select("c", "t", "text", "block", "before", "last")).mapInArrow(decode, "conv_id long, turn long, part int, role string, content string")
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """turns with `rendered`: the canonical form of each turn."""
-    return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>\n")))
+    """turns with `rendered`: the canonical form of each turn. A "<|" of the content becomes "<||", so that no content passes for a marker; "<||" back to "<|" restores it."""
+    content = F.replace("content", F.lit("<|"), F.lit("<||"))
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), content, F.lit("\n<|end|>\n")))
