@@ -1,14 +1,15 @@
 """Packing of documents into sequences of several permitted lengths.
 
-Texts longer than the largest length are cut into pieces of it. Pieces are dealt by a hash into
-shards of about SHARD_PIECES; in a shard they come by falling length, each into the open bin that
+Texts longer than the largest length are cut into pieces of it. Pieces are dealt by a hash of
+their place in the table, so that no id can crowd one, into shards of about SHARD_PIECES; in a shard they come by falling length, each into the open bin that
 it fills best. A new bin gets the size of least cost for each byte that it could hold of what is
 left (a bin costs its size and a fixed overhead), so the sizes are chosen jointly with what
 remains; in the end each bin is cut down to the smallest permitted size for its contents.
 
 Edge cases: null and empty texts are one row of length 0 without a bin; equal lengths go by id,
-then piece; repeated rows are packed like others; a null id is packed like any other; tables
-without rows give none; other columns are ignored. No piece is dropped or cut short.
+then piece; repeated rows are packed like others, and so are rows without an id or with a shared
+one, however many; a very long text is many pieces, dealt over all shards; tables without rows
+give none; other columns are ignored. No piece is dropped or cut short.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from vecloom.llm.common import written
 
 SIZES = (2048, 4096, 8192, 16384)
 OVERHEAD = 64
-SHARD_PIECES = 1000
+SHARD_PIECES = 10_000
 
 
 def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -80,10 +81,10 @@ def pieces(df: DataFrame, length: Column, id_col: str = "doc_id", most: int = SI
 
 def packed(spark: SparkSession, df: DataFrame, length: Column, id_col: str = "doc_id", sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset, bin_size for each piece; length is the column to pack by."""
-    all_pieces = written(pieces(df, length, id_col, max(sizes)), spark, "pack-pieces")
+    all_pieces = written(pieces(df, length, id_col, max(sizes)).withColumn("place", F.monotonically_increasing_id()), spark, "pack-pieces")
     shards = max(1, -(-all_pieces.where("length > 0").count() // SHARD_PIECES))
-    full = all_pieces.where("length > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    dealt = full.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece")
+    full = all_pieces.where("length > 0").withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
+    dealt = full.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards come one after another; each is about SHARD_PIECES rows."""
