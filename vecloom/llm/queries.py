@@ -28,10 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the number of strict spans of each kind, base_sha256, spans."""
+    """doc_id, the number of strict spans of each kind, base_sha256, spans, and how many spans there are."""
     found = find_pii(spark, table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "extra")).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "extra")).alias("spans"), (F.size("base") + F.size("extra")).cast("long").alias("n_found"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
