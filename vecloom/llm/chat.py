@@ -44,7 +44,7 @@ MARKERS = [
 WIDTHS = (len(ROLES) + 1, 3, 5, 2, 2)
 #: A line's place: inside a transcript that is one row, at the beginning of a row, inside one of several rows.
 INSIDE, BEGINS, WITHIN = range(3)
-SMOOTHING = 0.5
+SMOOTHING, LEAST_SHARE = 0.5, 0.05
 #: Of 20 openings of a made transcript, so many have the right marker, a wrong one and none; as many count as smoothing.
 RIGHT, WRONG, NONE = 14, 2, 4
 
@@ -86,6 +86,8 @@ class RoleModel:
             if f == 1:
                 n[1::2, BEGINS] = SMOOTHING * 1e-3  # a line that begins a row opens a turn
                 n[::2, WITHIN] += 0.01 * n[::2].sum(axis=1)  # inside one of several rows only a marker opens one
+            if f in (2, 3):  # length and question mark alone never outweigh a marker
+                n += LEAST_SHARE * n.sum(axis=1, keepdims=True)
             if f == 4:
                 n[1::2, 1] = SMOOTHING * 1e-3
             self.emission.append(np.log(n / n.sum(axis=1, keepdims=True)))
