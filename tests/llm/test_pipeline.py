@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from vecloom.llm import neardup, packing, quality
+from vecloom.llm import lines, neardup, packing, quality
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,9 @@ def sf_dir(spark, tmp_path_factory):
     for i in range(240):
         text = f"{say(60)}\n{say(40)}" if i % 6 else say(60).upper().replace(" ", "!! ")
         if i % 10 == 3 and i % 6:
-            text = docs[-1][1].replace("ta", "TA", 1) if i % 20 == 3 and docs[-1][0] % 6 else f"{text}\n{items[i % 5][1]}"
+            text = docs[-1][1].replace("ta", "TA", 1) if i % 20 == 3 and docs[-1][0] % 6 else f"{text}\n{say(2)} {items[i % 5][1]}"
         docs.append((i, f"{text}\nshared footer" if i % 4 == 0 and i % 6 else text, "en", f"s{i % 2}", 0))
-    docs += [(500, "", "en", "s0", 0), (501, None, None, None, None), (502, docs[1][1], "en", "s1", 0)]
+    docs += [(400, f"{say(30)} Too, SHORT! {say(30)}", "en", "s0", 0), (500, "", "en", "s0", 0), (501, None, None, None, None), (502, docs[1][1], "en", "s1", 0)]
     path = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -50,7 +50,7 @@ def test_stages_equal_plain_versions(spark, sf_dir):
     for r in want.values():
         total[r["source"]] += 1
         pages.update({(r["source"], x.strip(" ")) for x in (r["text"] or "").split("\n") if x.strip(" ")})
-    drop = {k for k, n in pages.items() if total[k[0]] >= 5 and n >= 5 and n > 0.3 * total[k[0]]}
+    drop = {k for k, n in pages.items() if total[k[0]] >= 5 and n >= 5 and n > lines.RATIO * total[k[0]]}
     assert drop
     texts = {i: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in drop) if r["text"] is not None else None for i, r in want.items()}
     got = pipeline.line_dedup(spark, got, sf_dir)
@@ -72,14 +72,14 @@ def test_stages_equal_plain_versions(spark, sf_dir):
     windows = set()
     for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
         w = word.findall(r["text"].encode().lower())
-        windows |= {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+        windows |= {tuple(w[k : k + 8]) for k in range(max(1, len(w) - 7))}
 
     def clean(text):
         w = word.findall((text or "").encode().lower())
-        return not any(tuple(w[k : k + 8]) in windows for k in range(len(w) - 7))
+        return not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
 
     left = {i: t for i, t in texts.items() if clean(t)}
-    assert len(left) < len(texts)
+    assert len(left) < len(texts) and 400 in texts and 400 not in left
     got = pipeline.decontamination(spark, got, sf_dir)
     assert got.columns == docs.columns and {r["doc_id"]: r["text"] for r in got.collect()} == left
 
@@ -91,8 +91,13 @@ def test_stages_equal_plain_versions(spark, sf_dir):
 
 
 def test_rows_that_share_an_id(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id in (1, 2, 4)")
     assert pipeline.near_dedup(spark, docs.union(docs), sf_dir).count() == 3
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "x", "s", 0), (1, two, "x", "s", 0), (2, one + " c", "x", "s", 0), (3, two + " c", "x", "s", 0), (None, one, "x", "s", 0), (4, one, "y", "s", 0), (4, one, "x", "s", 0), (5, "d " + two, "z", "t", 1)]
+    odd = spark.createDataFrame(rows, docs.schema).withColumn("mark", F.lit(0)).withColumn("c0", F.lit(0))
+    got = pipeline.near_dedup(spark, odd, sf_dir)
+    assert got.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, one), (1, one), (1, two)]
     assert pipeline.near_dedup(spark, docs.limit(0), sf_dir).count() == 0
 
 

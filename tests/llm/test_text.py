@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -111,6 +113,36 @@ def test_trees_add_spelled_out_forms_and_leave_prose_alone(spark):
     assert text == "mail [email] and [email]"
 
 
+def test_secrets_and_long_texts(spark):
+    model = pii.fit_pii(spark)
+    token = 'token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"'
+    rows = [(1, f"some words {token} and more"), (2, "commit 9c8b45435718dcc700c184a7e303cdc64c6a8f7f is in")]
+    got = {r["doc_id"]: r["x"] for r in pii.find_pii(spark, frame(spark, rows), model=model).select("doc_id", pii.span_list(F.col("extra")).alias("x")).collect()}
+    assert got == {1: f"secret:11:{10 + len(token)}", 2: ""}
+    many = [(1, "".join(f"jo{i} (at) ab (dot) com, jo{i}@ab.com " for i in range(20_000))), (2, "1" * 2_000_000), (3, "a@" * 500_000)]
+    began = time.time()
+    sizes = {r["doc_id"]: r["n"] for r in pii.find_pii(spark, frame(spark, many), model=model).select("doc_id", F.size("base").alias("n")).collect()}
+    assert sizes == {1: 20_000, 2: 0, 3: 0} and time.time() - began < 120
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12), st.booleans(), st.integers(0, 3)), max_size=30))
+def test_added_spans_equal_a_plain_choice(spark, spans):
+    rows = [(0, s, s + n, base, score / 4) for s, n, base, score in spans]
+    base, more = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+    free = sorted(m for m in more if not any(m[1] < b[2] and b[1] < m[2] for b in base))
+    want, end, chain = [], -1, []
+    for m in [*sorted(free, key=lambda m: m[1]), (0, 10**6, 10**6 + 1, False, 0.0)]:
+        if m[1] >= end and chain:
+            want.append(min(chain, key=lambda m: (-m[4], m[1], m[2])))
+            chain = []
+        end = max(end, m[2])
+        chain.append(m)
+    df = spark.createDataFrame([(base, more)], f"b array<{pii.RATED}>, m array<{pii.RATED}>")
+    got = df.select(pii._added(F.col("b"), F.col("m"))).head()[0]
+    assert sorted((r["start"], r["score"]) for r in got) == sorted((m[1], m[4]) for m in want)
+
+
 def test_candidates_keep_their_precision_on_held_out_texts(spark):
     assert min(pii.fit_pii(spark).precision) >= 0.98
 
@@ -149,6 +181,50 @@ def test_best_fit_keeps_order_and_bounds(sizes):
     assert all(used[b] <= s and s == min(x for x in (10, 20, 40) if x >= used[b]) for b, s in enumerate(size))
 
 
+def best_fit_by_brute_force(lengths, sizes, overhead):
+    """The same rules, written out: every open bin is looked at, and each size is filled from all that is left."""
+    left, bins, of = list(lengths), [], []
+    for n in lengths:
+        left.remove(n)
+        fits = [(room - used - n, b) for b, (room, used) in enumerate(bins) if room - used >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for size in sizes:
+                if size >= n:
+                    held = n
+                    for x in sorted(left, reverse=True):
+                        held += x if held + x <= size else 0
+                    costs.append(((size + overhead) / held, -size))
+            b = len(bins)
+            bins.append((-min(costs)[1], 0))
+        bins[b] = (bins[b][0], bins[b][1] + n)
+        of.append(b)
+    return of, [min(s for s in sizes if s >= used) for _, used in bins]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40))
+def test_best_fit_equals_brute_force(lengths):
+    lengths = sorted(lengths, reverse=True)
+    of, _, size = packing.pack(lengths, (10, 20, 40), 2)
+    assert (of, size) == best_fit_by_brute_force(lengths, (10, 20, 40), 2)
+
+
+def test_shards_fill_as_one_best_fit_does_and_no_id_crowds_one(spark, monkeypatch):
+    rng = random.Random(4)
+    lengths = [min(int(rng.lognormvariate(6, 1.3)) + 1, 16_384) for _ in range(3000)]
+    rows = [(None if i % 2 else i % 3, "x" * n) for i, n in enumerate(lengths)]
+    _, _, size = packing.pack(sorted(lengths, reverse=True))
+    monkeypatch.setattr(packing, "SHARD_PIECES", 500)
+    out = packing.packed(spark, frame(spark, rows), F.octet_length("text")).collect()
+    bins = {r["bin_id"]: r["bin_size"] for r in out}
+    assert sum(bins.values()) < 1.03 * sum(size)
+    shards = Counter(r["bin_id"] >> 32 for r in out)
+    assert len(shards) == 6 and max(shards.values()) < 700
+
+
 # Suffix arrays
 
 
@@ -266,6 +342,13 @@ def test_a_chain_of_1000_texts_is_one_component(spark):
     assert len(got) == 1000 and {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = neardup.near_duplicates(spark, frame(spark, [(1, one), (1, two), (2, one + " z"), (3, two + " z"), (5, two + " y"), (5, "c " * 9)])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == [(1, 1, 36), (1, 1, 36), (2, 1, 37), (3, 1, 37), (5, 1, 37), (5, 5, 1)]
+    assert len({r["part"] for r in got}) == 3
+
+
 def test_register_estimates():
     rng = np.random.default_rng(0)
     table = neardup.chance_table()
@@ -304,10 +387,54 @@ def test_quality_learns_from_documents(spark):
     assert quality.quality_scores(empty(spark), model).collect() == []
 
 
+def test_scores_do_not_depend_on_batches(spark):
+    rng = random.Random(2)
+    docs = frame(spark, [(i, "".join(rng.choice("ab! X.\n9") for _ in range(rng.randint(1, 900)))) for i in range(300)] + [(1000, "hello world!"), (1001, "hello world!")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    model = quality.fit_quality(spark, docs, labels)
+    scores = lambda df: {r["doc_id"]: r["score"] for r in quality.quality_scores(df, model).collect()}
+    one = scores(docs.coalesce(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert scores(docs.repartition(5)) == one and one[1000] == one[1001]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_attention_equals_a_plain_pass_and_numeric_gradients():
+    rng = np.random.default_rng(3)
+    z, cuts, y = rng.normal(size=(7, quality.N_FEATURES)), np.array([0, 1, 4]), np.array([1.0, 0, 1])
+    m = quality.AttentionModel()
+    p = m.p
+    for k, (a, b) in enumerate(((0, 1), (1, 4), (4, 7))):
+        h = [np.tanh(r @ p["W"] + p["b"]) for r in z[a:b]]
+        weight = np.exp([np.sum(p["w"] * np.tanh(x @ p["V"]) / (1 + np.exp(-x @ p["U"]))) for x in h])
+        bag = sum(w * x for w, x in zip(weight / weight.sum(), h))
+        assert abs(m.forward(z, cuts)[0][k] - 1 / (1 + np.exp(-(bag @ p["c"] + p["d"][0])))) < 1e-12
+    loss = lambda: -np.mean(y * np.log(m.forward(z, cuts)[0]) + (1 - y) * np.log(1 - m.forward(z, cuts)[0]))
+    for name, g in m.gradients(z, cuts, y).items():
+        for at in [tuple(rng.integers(n) for n in g.shape) for _ in range(4)]:
+            old, ends = p[name][at], []
+            for step in (1e-6, -1e-6):
+                p[name][at] = old + step
+                ends.append(loss())
+            p[name][at] = old
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[at]) < 1e-6, (name, at)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_quality_on_documents_not_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.fold_of(F.col("doc_id")) == 0
+    rows = quality.quality_scores(docs.where(held), quality.fit_quality(spark, docs, labels)).join(labels, "doc_id").collect()
+    good, bad = (np.array([r["score"] for r in rows if r["quality"] == q]) for q in (1, 0))
+    assert len(good) > 500 and len(bad) > 100 and np.mean(good[:, None] > bad[None]) > 0.99
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     x, cuts, y = rng.normal(size=(9, quality.N_FEATURES)), np.array([0, 2, 3, 7]), np.array([1.0, 0, 1, 0])
-    loss = lambda m: -np.mean(y * np.log(m.forward(x, cuts)[0]) + (1 - y) * np.log(1 - m.forward(x, cuts)[0]))
+    loss = lambda m: -np.mean(y * np.log(m.scores(x, cuts)) + (1 - y) * np.log(1 - m.scores(x, cuts)))
     before = quality.AttentionModel()
     before.mean, before.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     after = quality.AttentionModel().fit(x, cuts, y, epochs=60)
@@ -328,6 +455,25 @@ def test_lines_by_share_of_pages(spark):
     assert page.select(lines.host_of(F.col("url")), lines.page_text(F.col("html"))).head() == ("www.x.org", "One\ntwo\nthree")
 
 
+def test_a_line_on_a_tenth_of_a_source_goes(spark):
+    rows = [(i, f"own {i}\n" + ("license line" if i % 10 == 0 else "often said" if i % 25 == 1 else f"other {i}")) for i in range(300)]
+    out = lines.drop_boilerplate(spark, frame(spark, rows).withColumn("site", F.lit("a")), "site", "text").collect()
+    assert {r["n_lines_dropped"] for r in out if r["doc_id"] % 10 == 0} == {1} and sum(r["n_lines_dropped"] for r in out) == 30
+
+
+def test_long_pages_take_linear_time(spark):
+    pieces, rng = ["<script", "</script>", "<style", "</style>", "<!--", "-->", "<!-->", "<p>", "<b", "a", ">", " ", "\n", "-"], random.Random(1)
+    odd = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(1000)]
+    html = F.col("text")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, lines.HIDDEN, ""), lines.BREAKS, "\n"), "<[^>]*>", "")
+    plain = F.array_join(F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    assert frame(spark, odd).where(plain != lines.page_text(html)).count() == 0
+    long = [(1, "<script " * 250_000), (2, "<" * 2_000_000), (3, "<!--" * 500_000), (4, "<p " * 600_000), (5, "</style>" + "<style " * 300_000)]
+    began = time.time()
+    assert frame(spark, long).select(F.length(lines.page_text(html))).count() == 5 and frame(spark, long).agg(F.max(F.length(lines.page_text(html)))).head()[0] > 10**6
+    assert time.time() - began < 60
+
+
 # Decontamination
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -338,7 +484,7 @@ def test_contamination_equals_brute_force(spark):
     words = ["Alpha", "beta", "GAMMA", "délta", "É", "eps1", "zeta", "eta", "theta", "io"]
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, say(rng.randint(1, 14))) for i in range(12)] + [(50, ""), (51, None), (52, "alpha-beta!"), (None, "beta gamma")]
-    rows = [(i, say(rng.randint(0, 60)) + (" " + items[i % 12][1] + ". " + items[(i + 3) % 12][1] if i % 2 else "")) for i in range(60)] + [r for r in ODD if r[0] is not None] + [(800, items[3][1].replace(" ", ",\n"))]
+    rows = [(i, say(rng.randint(0, 60)) + (" " + items[i % 12][1] + ". " + items[(i + 3) % 12][1] if i % 2 else "")) for i in range(60)] + [*ODD, (None, items[2][1] + " " + items[5][1]), (7003, items[4][1]), (7003, items[6][1])] + [(800, items[3][1].replace(" ", ",\n"))]
     table = frame(spark, [], item_id=F.lit(1).cast("long")).select("item_id", "text", "term", "n").union(spark.createDataFrame(items, "item_id long, text string").select("item_id", "text", F.lit("x"), F.lit("y")))
     got = decontam.contamination(spark, frame(spark, rows), table).collect()
     windows = defaultdict(set)
@@ -360,6 +506,17 @@ def test_contamination_equals_brute_force(spark):
     assert {r["n_items"] for r in decontam.contamination(spark, frame(spark, rows), table.limit(0)).collect()} == {0}
 
 
+def test_places_of_terms_too_many_to_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = spark.createDataFrame([(i, say(10)) for i in range(5)], "item_id long, text string")
+    rows = [(i % 20, f"{say(20)} {r['text']}") for i, r in enumerate(items.collect() * 6)] + [(None, say(30)), *ODD]
+    found = lambda: sorted(map(str, decontam.contamination(spark, frame(spark, rows), items).collect()))
+    few = found()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
+    assert found() == few
+
+
 def test_near_matches(spark):
     item = "one two three four five six seven eight"
     docs = frame(spark, [(1, item.replace("three four", "four three")), (2, "one two three")])
