@@ -45,8 +45,9 @@ WIDTHS = (len(ROLES) + 1, 3, 5, 2, 2)
 #: A line's place: inside a transcript that is one row, at the beginning of a row, inside one of several rows.
 INSIDE, BEGINS, WITHIN = range(3)
 SMOOTHING, LEAST_SHARE = 0.5, 0.05
-#: Of 20 openings of a made transcript, so many have the right marker, a wrong one and none; as many count as smoothing.
+#: Of 20 openings of a made transcript, so many have the right marker, a wrong one and none.
 RIGHT, WRONG, NONE = 14, 2, 4
+MARKER_WEIGHT = 10  # how often these 20 count as smoothing
 
 
 def marker_of(line: str) -> tuple[int, int]:
@@ -81,8 +82,8 @@ class RoleModel:
                     n[state, value] += c
             if f == 0:
                 for k in range(len(ROLES)):
-                    n[2 * k] += [NONE, *(RIGHT if j == k else WRONG / 2 for j in range(len(ROLES)))]
-                    n[2 * k + 1, 0] += RIGHT + WRONG + NONE
+                    n[2 * k] += MARKER_WEIGHT * np.array([NONE, *(RIGHT if j == k else WRONG / 2 for j in range(len(ROLES)))])
+                    n[2 * k + 1, 0] += MARKER_WEIGHT * (RIGHT + WRONG + NONE)
             if f == 1:
                 n[1::2, BEGINS] = SMOOTHING * 1e-3  # a line that begins a row opens a turn
                 n[::2, WITHIN] += 0.01 * n[::2].sum(axis=1)  # inside one of several rows only a marker opens one
