@@ -120,15 +120,8 @@ def distance_cross_block(spark, d):
     return neighbors.distance(spark, _labelled(spark, d, 0), _labelled(spark, d, 1), strategy="block").withColumn("distance", rounded("distance"))
 
 
-@query("distance_self_cosine", f"WITH {COSINE} SELECT a.id AS row_id, b.id AS col_id, CASE WHEN a.id = b.id THEN 0 ELSE round(1 - list_cosine_similarity(a.e, b.e), 6) END::DOUBLE AS distance FROM m a, m b WHERE a.id <= 60 AND b.id <= 60")
+@query("distance_self_cosine", f"WITH {COSINE} SELECT a.id AS row_id, b.id AS col_id, CASE WHEN a.id = b.id THEN 0 ELSE round(1 - list_cosine_similarity(a.e, b.e), 6) END::DOUBLE AS distance FROM m a, m b")
 def distance_self_cosine(spark, d):
-    """All pairs of the first rows; a range of rows is this operator's subset form."""
-    return neighbors.distance(spark, _rescaled(spark, d).where("row_id <= 60"), metric="cosine").withColumn("distance", rounded("distance"))
-
-
-@query("distance_self_cosine_whole")
-def distance_self_cosine_whole(spark, d):
-    """All pairs of all rows."""
     return neighbors.distance(spark, _rescaled(spark, d), metric="cosine").withColumn("distance", rounded("distance"))
 
 
@@ -167,29 +160,22 @@ def tensor_metadata(spark, d):
     return spark.createDataFrame([("shape", " x ".join(map(str, t.shape))), ("length", str(len(t))), ("dtype", t.dtype)], "key string, value string")
 
 
-@query("tensor_to_host", f"WITH {X} SELECT id AS row_id, round(sum(v * c), 6) AS s FROM x WHERE id <= 20 GROUP BY id")
+@query("tensor_to_host", f"WITH {X} SELECT id AS row_id, round(sum(v * c), 6) AS s FROM x GROUP BY id")
 def tensor_to_host(spark, d):
-    host = matrix(spark, d).subset(list(range(1, 21)), None).to_numpy()
-    return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(host @ np.arange(1, DIM + 1))], "row_id long, s double").withColumn("s", rounded("s"))
-
-
-@query("tensor_to_host_whole")
-def tensor_to_host_whole(spark, d):
-    """The whole tensor on the driver."""
     host = matrix(spark, d).to_numpy()
     return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(host @ np.arange(1, DIM + 1))], "row_id long, s double").withColumn("s", rounded("s"))
 
 
-@query("tensor_transfer", f"WITH {X} SELECT id AS i1, c AS i2, v FROM x WHERE c = 1")
+@query("tensor_transfer", f"WITH {X} SELECT id AS i1, c AS i2, v FROM x")
 def tensor_transfer(spark, d):
-    return matrix(spark, d).to_device("executors").cells.where("i2 = 1")
+    return matrix(spark, d).to_device("executors").cells
 
 
-@query("tensor_cast_float32", "SELECT l_orderkey AS i1, l_linenumber::BIGINT AS i2, sum(l_extendedprice::FLOAT::DOUBLE) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2")
+@query("tensor_cast_float32", "SELECT l_orderkey AS i1, l_linenumber::BIGINT AS i2, round(sum(l_extendedprice::FLOAT::DOUBLE), 4) AS v FROM lineitem GROUP BY 1, 2")
 def tensor_cast_float32(spark, d):
-    t = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("i1"), F.col("l_linenumber").cast("long").alias("i2"), F.col("l_extendedprice").alias("v"))
-    got = Tensor(t, (10**9, 1)).cast("float32").cells
-    return got.groupBy("i1", "i2").agg(F.sum("v").alias("v"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i1"), F.col("l_linenumber").cast("long").alias("i2"), F.col("l_extendedprice").alias("v"))
+    got = Tensor(t, (10**9, 10)).cast("float32").cells
+    return got.groupBy("i1", "i2").agg(rounded(F.sum("v"), 4).alias("v"))
 
 
 @query("tensor_cast_integer", "SELECT p_partkey AS i1, p_size::INT AS v FROM part")
@@ -338,16 +324,8 @@ def sparse_csr_roundtrip(spark, d):
     return triplets(spark, d).csr_rows().select("i", F.explode(F.arrays_zip("cols", "vals")).alias("e")).select("i", F.col("e.cols").alias("j"), F.col("e.vals").alias("v"))
 
 
-@query("sparse_to_host", f"WITH {S} SELECT j, i, v FROM s WHERE j <= 50")
+@query("sparse_to_host", f"WITH {S} SELECT j, i, v FROM s")
 def sparse_to_host(spark, d):
-    """Columns in order on the driver (the first 50: a transfer is what is tested)."""
-    x = triplets(spark, d)
-    v, i, p = Sparse(x.entries.where("j <= 50"), (x.shape[0], 50)).to_csc()
-    return spark.createDataFrame([(int(c) + 1, int(r) + 1, float(a)) for c, r, a in zip(np.repeat(np.arange(50), np.diff(p)), i, v)], "j long, i long, v double")
-
-
-@query("sparse_to_host_whole")
-def sparse_to_host_whole(spark, d):
     """All columns in order on the driver."""
     x = triplets(spark, d)
     v, i, p = x.to_csc()
@@ -454,17 +432,9 @@ def svd_frobenius(spark, d):
     return spark.createDataFrame([(float((found.d**2).sum()),)], "total double").withColumn("total", rounded("total"))
 
 
-@query("svd_reconstruction", f"WITH {X} SELECT id AS row_id, c AS col, round(v, 6) AS v FROM x WHERE c <= 4")
+@query("svd_reconstruction", f"WITH {X} SELECT id AS row_id, c AS col, round(v, 6) AS v FROM x")
 def svd_reconstruction(spark, d):
-    """U diag(d) V' gives the matrix back (four columns of it)."""
-    found = linalg.svd(spark, rows(spark, d))
-    back = linalg.project(found.u, (found.v * found.d).T[:, :4])
-    return back.select("row_id", F.posexplode("features").alias("p", "v")).select("row_id", (F.col("p") + 1).cast("long").alias("col"), rounded("v").alias("v"))
-
-
-@query("svd_reconstruction_whole")
-def svd_reconstruction_whole(spark, d):
-    """U diag(d) V' gives the matrix back, in all columns."""
+    """U diag(d) V' gives the matrix back."""
     found = linalg.svd(spark, rows(spark, d))
     back = linalg.project(found.u, (found.v * found.d).T)
     return back.select("row_id", F.posexplode("features").alias("p", "v")).select("row_id", (F.col("p") + 1).cast("long").alias("col"), rounded("v").alias("v"))
@@ -593,16 +563,9 @@ def diffusion_kernel_degree(spark, d):
     return embed.diffusion_kernel(spark, rows(spark, d))[1].withColumn("degree", rounded("degree", 5))
 
 
-@query("diffusion_normalized_kernel", f"WITH {KERNEL} SELECT w.q AS row_id, r AS col_id, round(w / sqrt(a.dg * b.dg), 8) AS w FROM w JOIN dg a ON a.q = w.q JOIN dg b ON b.q = w.r WHERE w.q <= 40")
+@query("diffusion_normalized_kernel", f"WITH {KERNEL} SELECT w.q AS row_id, r AS col_id, round(w / sqrt(a.dg * b.dg), 8) AS w FROM w JOIN dg a ON a.q = w.q JOIN dg b ON b.q = w.r")
 def diffusion_normalized_kernel(spark, d):
-    """Forty rows of the matrix whose eigenvectors are the map."""
-    kernel, degree, _ = embed.diffusion_kernel(spark, rows(spark, d))
-    return embed.normalized_kernel(kernel, degree).where("row_id <= 40").withColumn("w", rounded("w", 8))
-
-
-@query("diffusion_normalized_kernel_whole")
-def diffusion_normalized_kernel_whole(spark, d):
-    """The whole matrix whose eigenvectors are the map."""
+    """The matrix whose eigenvectors are the map."""
     kernel, degree, _ = embed.diffusion_kernel(spark, rows(spark, d))
     return embed.normalized_kernel(kernel, degree).withColumn("w", rounded("w", 8))
 
