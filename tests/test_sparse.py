@@ -45,7 +45,7 @@ def test_normalize(spark):
         sparse(spark, np.array([[1.0, 2], [-1, 3]])).normalize()
     with pytest.raises(ValueError, match="positive finite sum"):
         sparse(spark, np.array([[1.0, 0], [0, 0]])).normalize()
-    with pytest.raises(ValueError, match="one positive finite"):
+    with pytest.raises(ValueError, match="finite number above 0"):
         s.normalize("rows", 0)
 
 
@@ -55,3 +55,9 @@ def test_validation(spark):
     with pytest.raises(ValueError, match="numeric"):
         sparse(spark, np.array([["a"]]))
     assert [r["j"] for r in sparse(spark, np.array([[2.0, 1], [2, 0]])).constant_columns().collect()] == [1]
+
+
+def test_missing_parts_of_triplets_are_refused(spark):
+    for row in ((2, 2, None), (None, 1, 1.0), (1, None, 1.0), (2, 2, float("nan"))):
+        with pytest.raises(ValueError):
+            sparse(spark, spark.createDataFrame([(1, 1, 1.0), (2, 2, 3.0), row], "i long, j long, v double"))

@@ -74,7 +74,7 @@ def _seed(seed) -> int:
     if seed is None:
         return 0
     if isinstance(seed, bool) or not np.isscalar(seed) or not np.isfinite(seed) or int(seed) != seed:
-        raise ValueError("`seed` must be NULL or one finite whole number.")
+        raise ValueError("A seed is a whole number, or None.")
     return int(seed)
 
 
@@ -87,17 +87,17 @@ def kmeans(spark: SparkSession, x, centers, iter_max: int = 100, tolerance: floa
     rows, batch = as_rows(x), _batch(batch_size)
     n, p = check_matrix(rows)
     if isinstance(iter_max, bool) or int(iter_max) != iter_max or iter_max < 1:
-        raise ValueError("`iter.max` must be one positive whole number.")
+        raise ValueError("At least one round is needed: give `iter_max` as a whole number.")
     if not np.isscalar(tolerance) or not np.isfinite(tolerance) or tolerance < 0:
-        raise ValueError("`tolerance` must be one non-negative finite number.")
+        raise ValueError("The tolerance is a finite number of 0 or more.")
     if np.isscalar(centers):
         if isinstance(centers, bool) or int(centers) != centers or not 1 <= centers <= n - 1:
-            raise ValueError("Numeric `centers` must be between 1 and nrow(x) - 1.")
+            raise ValueError("The number of clusters lies between 1 and one less than the rows.")
         picked = rows.orderBy(F.xxhash64("row_id", F.lit(_seed(seed))), "row_id").limit(int(centers)).select("features").collect()
         centers = np.array([r["features"] for r in picked])
     centers = np.array(centers, float)
     if centers.ndim != 2 or centers.shape[1] != p or not np.isfinite(centers).all():
-        raise ValueError("`centers` must have the same number of columns as `x`.")
+        raise ValueError("Centres are finite and have as many columns as the rows.")
     rows = rows.persist()
     try:
         converged, t = False, 0
@@ -115,17 +115,32 @@ def kmeans(spark: SparkSession, x, centers, iter_max: int = 100, tolerance: floa
     return KMeans(_assigned(rows, centers, batch), centers, within, float(within.sum()), t, converged)
 
 
+def check_kmeans(model: KMeans) -> None:
+    """Whether a model can assign rows: centres are a finite matrix, and the sums belong to them."""
+    centers = np.asarray(model.centers, float) if np.ndim(model.centers) == 2 else np.zeros((0, 0))
+    if not centers.size or not np.isfinite(centers).all():
+        raise ValueError("The model's centres are no finite matrix with rows and columns.")
+    within = np.asarray(model.withinss, float)
+    if within.shape != (len(centers),) or not np.isfinite(within).all() or (within < 0).any():
+        raise ValueError(f"The model needs a sum of squares of 0 or more for each of its {len(centers)} clusters.")
+    if not np.isclose(model.tot_withinss, within.sum(), rtol=1e-8, atol=1e-10):
+        raise ValueError("The model's total isn't the sum of its clusters.")
+    if isinstance(model.iterations, bool) or model.iterations < 0 or int(model.iterations) != model.iterations or not isinstance(model.converged, (bool, np.bool_)):
+        raise ValueError("The model's count of rounds or its mark of convergence is invalid.")
+
+
 def predict_kmeans(model: KMeans, newdata: DataFrame | None = None, kind: str = "cluster", batch_size: int = 256) -> DataFrame:
     """row_id, cluster of new rows (or of the fitted ones), or row_id, cluster, distance for all centres; clusters work on streams as well."""
     if kind not in ("cluster", "distance"):
-        raise ValueError("`type` must be cluster or distance.")
+        raise ValueError("`kind` is cluster or distance.")
     if newdata is None:
         if kind == "distance":
-            raise ValueError("`newdata` is needed for distances.")
+            raise ValueError("Distances need new rows.")
         return model.assignments
+    check_kmeans(model)
     p = model.centers.shape[1]
     if not newdata.isStreaming and check_matrix(newdata)[1] != p:
-        raise ValueError(f"`newdata` must contain exactly {p} model feature{'' if p == 1 else 's'}.")
+        raise ValueError(f"The model has {p} columns, the new rows another number.")
     if kind == "cluster":
         return _assigned(newdata, model.centers, _batch(batch_size))
     centers = model.centers

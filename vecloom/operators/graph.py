@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vecloom.operators.neighbors import Knn
 from vecloom.plans import provenance as prov
@@ -61,7 +60,7 @@ def check_neighbors(rows: DataFrame, vertices: DataFrame) -> None:
     if got["n"] == 0 or got["bad"]:
         raise ValueError("Indices and distances must be same-sized matrices with finite, non-negative distances.")
     if got["own"]:
-        raise ValueError("Nearest neighbours must not contain self-links.")
+        raise ValueError("A row is no neighbour of itself.")
     known = vertices.select(F.col("vertex_id").alias("neighbor_id"))
     if got["none"] or not rows.select("neighbor_id").join(known, "neighbor_id", "left_anti").isEmpty():
         raise ValueError("Nearest-neighbour indices must be valid graph vertices.")
@@ -110,8 +109,8 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     inner = placed.where("c_src = c_dst").groupBy(F.col("c_src").alias("community")).agg(F.sum("weight").alias("own"))
     ends = placed.select(F.col("c_src").alias("community"), "weight").union(placed.select("c_dst", "weight"))
     degree = ends.groupBy("community").agg(F.sum("weight").alias("degree"))
-    total = F.sum("degree").over(Window.partitionBy(F.lit(1))) / 2  # one row for each community
-    parts = degree.join(inner, "community", "left").withColumn("m", total)
+    total = edges.agg(F.sum("weight").alias("m"))  # one row
+    parts = degree.join(inner, "community", "left").crossJoin(F.broadcast(total))
     q = F.sum(F.coalesce("own", F.lit(0.0)) / F.col("m") - resolution * F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2.0)))
     return parts.agg(F.coalesce(q, F.lit(0.0)).alias("modularity"))
 
@@ -281,5 +280,5 @@ def louvain(spark: SparkSession, graph: Graph, resolution: float = 1.0) -> Commu
 
 def leiden(spark: SparkSession, graph: Graph, resolution: float = 1.0, n_iterations: int = 2) -> Communities:
     if isinstance(n_iterations, bool) or not np.isscalar(n_iterations) or int(n_iterations) != n_iterations or n_iterations < 1:
-        raise ValueError("`n_iterations` must be a positive whole number.")
+        raise ValueError("Leiden needs a whole number of rounds, 1 or more.")
     return _communities(spark, graph, "leiden", resolution, lambda g, r: leiden_labels(g, r, int(n_iterations)))

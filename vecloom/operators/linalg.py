@@ -95,7 +95,7 @@ def svd(spark: SparkSession, x, nu: int | None = None, nv: int | None = None) ->
     rank = min(n, p)
     nu, nv = rank if nu is None else nu, rank if nv is None else nv
     if any(isinstance(k, bool) or int(k) != k or not 0 <= k <= rank for k in (nu, nv)):
-        raise ValueError("`nu` and `nv` must be whole numbers between zero and matrix rank.")
+        raise ValueError(f"`nu` and `nv` count vectors: 0 to {rank}.")
     _, d, vt = np.linalg.svd(triangle(rows, p), full_matrices=False)
     d, v = d[:rank], vt[:rank].T
     left = np.zeros((p, nu))
@@ -105,22 +105,40 @@ def svd(spark: SparkSession, x, nu: int | None = None, nv: int | None = None) ->
 
 
 def column_stats(rows: DataFrame, cols: int) -> DataFrame:
-    """col (from 1), mean, sd, low, high, rms of each column, by one aggregate over exploded cells."""
-    cells = rows.select(F.posexplode("features").alias("p", "v"))
-    root = F.sqrt(F.sum(F.col("v") * F.col("v")) / (F.count("*") - 1))
-    return cells.groupBy((F.col("p") + 1).alias("col")).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"), root.alias("rms"))
+    """col (from 1), mean, sd, low, high, rms of each column: every partition folds its rows into one row a column, and these merge."""
+
+    def fold(batches):
+        n, mean, square, low, high, raw = 0, np.zeros(cols), np.zeros(cols), np.full(cols, np.inf), np.full(cols, -np.inf), np.zeros(cols)
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(batch.column("features"))
+                own, m = x.mean(axis=0), len(x)
+                square += ((x - own) ** 2).sum(axis=0) + (own - mean) ** 2 * (n * m / (n + m))
+                mean, n = mean + (own - mean) * (m / (n + m)), n + m
+                raw += (x**2).sum(axis=0)
+                low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, cols + 1, dtype=np.int32)), pa.array(np.full(cols, n)), *map(pa.array, (mean, square, low, high, raw))], names=["col", "n", "m", "q", "low", "high", "raw"])
+
+    parts = rows.select("features").mapInArrow(fold, "col int, n long, m double, q double, low double, high double, raw double")
+    sums = parts.groupBy("col").agg(F.collect_list(F.struct("n", "m", "q")).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("raw").alias("raw"))  # one entry a partition
+    total = lambda of: F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + of(x))
+    sums = sums.withColumn("n", total(lambda x: x["n"].cast("double"))).withColumn("mean", total(lambda x: x["n"] * x["m"]) / F.col("n"))
+    spread = total(lambda x: x["q"] + x["n"] * (x["m"] - F.col("mean")) * (x["m"] - F.col("mean")))
+    over = F.when(F.col("n") > 1, F.col("n") - 1)
+    return sums.select("col", "mean", F.sqrt(spread / over).alias("sd"), "low", "high", F.sqrt(F.col("raw") / over).alias("rms"))
 
 
 def pca(spark: SparkSession, x, n_components: int = 2, center: bool = True, scale: bool = False, feature_names: list[str] | None = None) -> Pca:
     """Principal components: standard deviations, rotation, scores. The signs of components are arbitrary."""
     for name, flag in (("center", center), ("scale", scale)):
         if not isinstance(flag, bool):
-            raise ValueError(f"`{name}` must be TRUE or FALSE.")
+            raise ValueError(f"`{name}` is True or False.")
     rows = as_rows(x)
     n, p = check_matrix(rows, 2)
     most = min(n - 1, p)
     if isinstance(n_components, bool) or int(n_components) != n_components or not 1 <= n_components <= most:
-        raise ValueError(f"`n_components` must be between 1 and {most}.")
+        raise ValueError(f"Ask for 1 to {most} components.")
     stages = {"sparse_to_dense": prov.stage(backend="sql")} if isinstance(x, Sparse) else {}
     mean = sd = None
     if center or scale:
@@ -129,7 +147,7 @@ def pca(spark: SparkSession, x, n_components: int = 2, center: bool = True, scal
         if scale:
             constant = not isinstance(x, Sparse) and (stats["low"] == stats["high"]).any() or isinstance(x, Sparse) and not x.constant_columns().isEmpty()
             if constant:
-                raise ValueError("Cannot scale constant features.")
+                raise ValueError("A constant column has no scale.")
             sd = stats["sd" if center else "rms"].to_numpy()
     _, d, vt = np.linalg.svd(triangle(rows, p, mean, sd), full_matrices=False)
     rotation = vt[:n_components].T
@@ -148,22 +166,26 @@ def sparse_covariance(x: Sparse) -> DataFrame:
 
 
 def aligned_features(columns: list[str] | None, model_names: list[str] | None, n_features: int) -> list[int]:
-    """Positions of the model's features among the columns of new data."""
-    if columns is not None and len(columns) != n_features:
-        raise ValueError(f"`newdata` must contain exactly {n_features} model feature{'' if n_features == 1 else 's'}; it has {len(columns)}.")
+    """Where each feature of the model stands among the columns of new data: by name if the model has names, else by place."""
     if model_names is None:
+        if columns is not None and len(columns) != n_features:
+            raise ValueError(f"The model has {n_features} features and no names; the new data names {len(columns)} columns.")
         return list(range(n_features))
     if columns is None:
-        raise ValueError("`newdata` must have column names because the model was fitted with named features.")
-    if list(columns) == list(model_names):
+        raise ValueError("The model's features have names, so the new data must name its columns.")
+    places: dict[str, list[int]] = {}
+    for place, name in enumerate(columns):
+        places.setdefault(name, []).append(place)
+    if list(columns) == list(model_names):  # also with names that repeat
         return list(range(n_features))
-    if len(set(columns)) < len(columns) or len(set(model_names)) < len(model_names):
-        raise ValueError("Duplicated feature names must match the fitted model exactly and in the same order.")
-    missing, extra = [c for c in model_names if c not in columns], [c for c in columns if c not in model_names]
-    if missing or extra:
-        told = "; ".join([f"missing: {', '.join(missing)}"] * bool(missing) + [f"unexpected: {', '.join(extra)}"] * bool(extra))
-        raise ValueError(f"`newdata` feature names do not match the fitted model ({told}).")
-    return [list(columns).index(c) for c in model_names]
+    faults = {
+        "lacking": [name for name in model_names if name not in places],
+        "unknown": [name for name in places if name not in model_names],
+        "repeated": sorted({name for name in model_names if model_names.count(name) > 1} | {name for name, at in places.items() if len(at) > 1}),
+    }
+    if any(faults.values()):
+        raise ValueError("The new data's columns aren't the model's features: " + ", ".join(f"{fault} {names}" for fault, names in faults.items() if names))
+    return [places[name][0] for name in model_names]
 
 
 def predict_pca(model: Pca, newdata: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -171,11 +193,11 @@ def predict_pca(model: Pca, newdata: DataFrame, columns: list[str] | None = None
     p = len(model.rotation)
     for name, part in (("rotation", model.rotation), ("center", model.center), ("scale", model.scale)):
         if part is not None and (len(part) != p or not np.isfinite(part).all()):
-            raise ValueError(f"The fitted object contains an invalid {name}.")
+            raise ValueError(f"The model's {name} is of the wrong length or not finite.")
     if not newdata.isStreaming:
         _, found = check_matrix(newdata)
         if found != p:
-            raise ValueError(f"`newdata` must contain exactly {p} model feature{'' if p == 1 else 's'}; it has {found}.")
+            raise ValueError(f"The model has {p} features, the new rows have {found}.")
     order = aligned_features(columns, model.feature_names, p)
     rows = newdata if order == list(range(p)) else newdata.select("row_id", F.array(*[F.col("features")[k] for k in order]).alias("features"))
     return project(rows, model.rotation, model.center, model.scale)

@@ -54,7 +54,7 @@ def check_matrix(rows: DataFrame, least_rows: int = 1, least_cols: int = 1) -> t
     odd = F.col("features").isNull() | F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     got = rows.agg(F.count("*").alias("n"), F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high"), F.max(odd.cast("int")).alias("odd")).head()
     if got["n"] < least_rows or (got["low"] or 0) < least_cols or got["low"] != got["high"] or got["odd"]:
-        raise ValueError(f"The input must be a finite numeric matrix with at least {least_rows} rows and {least_cols} columns.")
+        raise ValueError(f"Rows must be finite and of one length: {least_rows} rows and {least_cols} columns at least.")
     return got["n"], got["low"]
 
 
@@ -88,13 +88,13 @@ def _metric(rows: DataFrame, metric: str) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"`metric` must be one of {', '.join(METRICS)}.")
     if metric == "cosine" and not rows.where(F.forall("features", lambda x: x == 0)).isEmpty():
-        raise ValueError("Cosine distance is undefined for zero-length rows.")
+        raise ValueError("A row of zeros has no direction, and so no cosine.")
     return rows.select("row_id", unit(F.col("features")).alias("features")) if metric == "cosine" else rows.select("row_id", "features")
 
 
 def _batch(batch_size) -> int:
     if isinstance(batch_size, bool) or not isinstance(batch_size, (int, np.integer)) or batch_size < 1:
-        raise ValueError("`batch_size` must be one positive whole number.")
+        raise ValueError("A batch holds one row or more.")
     return int(batch_size)
 
 
@@ -249,7 +249,7 @@ def distance(spark: SparkSession, x, y=None, metric: str = "euclidean", batch_si
     other = rows if y is None else as_rows(y)
     m, cols = check_matrix(other) if y is not None else (n, p)
     if p != cols:
-        raise ValueError("`x` and `y` must have the same number of columns.")
+        raise ValueError("Both matrices need equally many columns.")
     chosen = select(strategy, "distance", n * m * p)
     from vecloom.plans.strategy import call
 
@@ -261,7 +261,7 @@ def knn(spark: SparkSession, x, k: int = 15, metric: str = "euclidean", batch_si
     batch, rows = _batch(batch_size), as_rows(x)
     n, p = check_matrix(rows, 2)
     if isinstance(k, bool) or not isinstance(k, (int, np.integer)) or not 1 <= k <= n - 1:
-        raise ValueError("`k` must be a whole number between 1 and nrow(x) - 1.")
+        raise ValueError("A row has from 1 to (rows - 1) neighbours; `k` is such a whole number.")
     chosen = select(strategy, "knn", n * n * p)
     from vecloom.plans.strategy import call
 
@@ -278,7 +278,7 @@ def sparse_knn(spark: SparkSession, x: Sparse, k: int = 15) -> Knn:
     """
     n = x.shape[0]
     if not 1 <= k <= n - 1:
-        raise ValueError("`k` must be a whole number between 1 and nrow(x) - 1.")
+        raise ValueError("A row has from 1 to (rows - 1) neighbours; `k` is such a whole number.")
     if x.shape[1] <= WIDE:
         return knn(spark, x, k, strategy="block")
     rows = x.entries.sparkSession.range(1, n + 1).withColumnRenamed("id", "i")

@@ -119,9 +119,9 @@ class Sparse:
         if margin not in ("rows", "columns"):
             raise ValueError("`margin` must be rows or columns.")
         if isinstance(scale_factor, bool) or not np.isscalar(scale_factor) or not np.isfinite(scale_factor) or scale_factor <= 0:
-            raise ValueError("`scale_factor` must be one positive finite number.")
+            raise ValueError("The scale factor is a finite number above 0.")
         if not isinstance(log1p, bool):
-            raise ValueError("`log1p` must be TRUE or FALSE.")
+            raise ValueError("`log1p` is True or False.")
         axis, n = ("i", self.shape[0]) if margin == "rows" else ("j", self.shape[1])
         sums = self.entries.groupBy(axis).agg(F.sum("v").alias("total"), F.min("v").alias("least"))
         bad = sums.agg(F.count("*").alias("n"), F.min("least").alias("least"), F.min("total").alias("total"), F.max("total").alias("most")).head()
@@ -148,7 +148,7 @@ def sparse(spark: SparkSession, x, shape=None, format: str = "coo", drop_zeros:
     if format not in ("coo", "csr"):
         raise ValueError("`format` must be coo or csr.")
     if not isinstance(drop_zeros, bool):
-        raise ValueError("`drop_zeros` must be TRUE or FALSE.")
+        raise ValueError("`drop_zeros` is True or False.")
     if not isinstance(x, DataFrame):
         x = np.asarray(x)
         if x.dtype.kind not in "iuf" or x.ndim != 2:
@@ -160,14 +160,17 @@ def sparse(spark: SparkSession, x, shape=None, format: str = "coo", drop_zeros:
         rows = [(int(a) + 1, int(b) + 1, float(x[a, b])) for a, b in zip(i, j)]
         entries = spark.createDataFrame(rows, "i long, j long, v double")
     else:
-        entries = x.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-        if drop_zeros:
-            entries = entries.where("v <> 0")
+        given = x.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double"))
+        # A sum leaves nulls out, so missing parts of a triplet are told from the triplets and not from the sums.
+        missing = F.greatest(*[F.col(c).isNull().cast("int") for c in ("i", "j", "v")])
+        entries = given.groupBy("i", "j").agg(F.sum("v").alias("v"), F.max(missing).alias("missing"))
         entries = entries.persist()  # the check reads all of them, and every operator does again
-        odd = F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))
+        odd = (F.col("missing") == 1) | F.isnan("v") | (F.abs("v") == float("inf"))
         told = entries.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.max(odd.cast("int")).alias("odd"), F.min(F.least("i", "j")).alias("low")).head()
         if told["odd"]:
-            raise ValueError("A sparse matrix must hold finite, non-missing values.")
+            entries.unpersist()
+            raise ValueError("Triplets need an index, another index and a finite value each.")
+        entries = entries.where("v <> 0").drop("missing") if drop_zeros else entries.drop("missing")
         shape = shape or (told["i"] or 1, told["j"] or 1)
         if told["i"] is not None and (told["low"] < 1 or told["i"] > shape[0] or told["j"] > shape[1]):
             raise ValueError("Sparse indices must lie within the shape.")

@@ -242,7 +242,7 @@ class Tensor:
 
     def _reduced(self, how: str, dim, keepdim: bool) -> Tensor:
         if not isinstance(keepdim, bool):
-            raise ValueError("`keepdim` must be TRUE or FALSE.")
+            raise ValueError("`keepdim` is True or False.")
         dims = list(range(1, self.rank + 1)) if dim is None else [dim] if isinstance(dim, (int, np.integer)) else list(dim)
         if any(isinstance(d, bool) or int(d) != d or not 1 <= d <= self.rank for d in dims) or len(set(dims)) != len(dims):
             raise ValueError("`dim` must hold valid one-based tensor dimensions, each once.")
@@ -301,10 +301,10 @@ class Tensor:
     def subset(self, *index, drop: bool = True) -> Tensor:
         """R's subscripts: positive, negative, logical (recycled) and label vectors, None for all; one vector counts cells in column-major order."""
         if not isinstance(drop, bool):
-            raise ValueError("`drop` must be TRUE or FALSE.")
+            raise ValueError("`drop` is True or False.")
         _, picks, shape, labels = self._plan(index, drop)
         if any(len(p) == 0 for p in picks):
-            raise ValueError("Subsetting produced an empty tensor, which is not supported.")
+            raise ValueError("The subscripts pick no cell, and a tensor has at least one.")
         spark, one = self.cells.sparkSession, len(index) == 1 and self.rank != 1
         cells = self.cells.select(self._linear().alias("q") + 1, "v").toDF("i1", "v") if one else self.cells
         for k, pick in enumerate(picks):
@@ -330,14 +330,14 @@ class Tensor:
         n = math.prod(len(p) for p in picks)
         values = value.to_numpy().ravel(order="F") if isinstance(value, Tensor) else np.asarray(value)
         if values.dtype.kind not in "iuf" or values.size == 0:
-            raise ValueError("`value` must be a non-empty numeric object.")
+            raise ValueError("New values are numbers, at least one.")
         values = values.ravel(order="F").astype(float)
         if self.dtype == "integer" and not all(np.isfinite(x) and x == np.floor(x) and abs(x) <= INT_MAX for x in values):
             raise ValueError("`value` cannot be represented exactly as integer dtype.")
         if self.dtype == "float32":
             values = values.astype(np.float32).astype(float)
         if n % len(values):
-            raise ValueError("number of items to replace is not a multiple of replacement length")
+            raise ValueError("The cells to replace are no multiple of the new values.")
         if n == 0:
             return self._with(self.cells, "replacement", dimnames=self.dimnames)
         spark = self.cells.sparkSession

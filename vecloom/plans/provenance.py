@@ -36,14 +36,14 @@ class Stage:
         for f in fields(self):
             value = getattr(self, f.name)
             if f.name != "fallback" and (not isinstance(value, str) or not value):
-                raise ValueError(f"`{f.name}` must be one non-empty string.")
+                raise ValueError(f"A stage names its `{f.name}` in a text that isn't empty.")
         if self.requested_device not in REQUESTS:
             raise ValueError(f"`requested_device` must be one of {', '.join(REQUESTS)}.")
         for name in ("device", "output_device"):
             if getattr(self, name) not in PLACES:
                 raise ValueError(f"`{name}` must be one of {', '.join(PLACES)}.")
         if not isinstance(self.fallback, bool):
-            raise ValueError("`fallback` must be TRUE or FALSE.")
+            raise ValueError("`fallback` is True or False.")
         if self.fallback and (self.requested_device, self.device) != ("auto", "driver"):
             raise ValueError("`fallback` is only legal when an automatic request ended on the driver.")
 
