@@ -56,16 +56,24 @@ def _ended(html: Column, begin: str, end: str) -> Column:
 
 def _without_tags(html: Column, pattern: str, put: str) -> Column:
     """html with the matches of a pattern that ends with ">" replaced; behind the last ">" there are none."""
-    return _split_at_last(html, ">", lambda head, rest: F.concat(F.regexp_replace(head, pattern, put), rest))
+    guarded = _split_at_last(html, ">", lambda head, rest: F.concat(F.regexp_replace(head, pattern, put), rest))
+    return F.when(F.contains(F.substring_index(html, ">", -1), F.lit("<")), guarded).otherwise(F.regexp_replace(html, pattern, put))
+
+
+def _all_ended(html: Column) -> Column:
+    """html, with OPEN where a hidden part begins but never ends; plain searches tell whether there is any."""
+    marked = html
+    for begin, end in HIDDEN_PARTS:
+        marked = _ended(marked, begin, end)
+    open_ = lambda low: F.greatest(*[F.contains(F.substring_index(low, end, -1), F.lit(begin)) for begin, end in HIDDEN_PARTS])
+    return F.when(let(F.lower(html), open_), marked).otherwise(html)
 
 
 def page_text(html: Column) -> Column:
     """A page's visible text, a line for each block."""
-    shown = F.coalesce(html, F.lit(""))
-    for begin, end in HIDDEN_PARTS:
-        shown = _ended(shown, begin, end)
-    shown = F.replace(F.regexp_replace(shown, HIDDEN, ""), F.lit(f"<{OPEN}"), F.lit("<"))
-    shown = _without_tags(_without_tags(shown, BREAKS, "\n"), "<[^>]*>", "")
+    hidden = let(F.coalesce(html, F.lit("")), lambda h: F.regexp_replace(_all_ended(h), HIDDEN, ""))
+    shown = let(F.replace(hidden, F.lit(f"<{OPEN}"), F.lit("<")), lambda h: _without_tags(h, BREAKS, "\n"))
+    shown = let(shown, lambda h: _without_tags(h, "<[^>]*>", ""))
     lines = F.transform(F.split(shown, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
