@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import written
+from vecloom.llm.common import mark_of, written
 from vecloom.llm.hashing import chunks, mixed, range_hashes
 
 LENGTH, GRAM = 200, 64
@@ -88,7 +88,7 @@ def pieces(texts: pa.Array, length: int = LENGTH) -> Iterator[tuple[int, int, in
 
 
 def span_table(docs: DataFrame, batches: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per span: doc_id, h (of the text, for rows that share an id), lo, n, anchor, span, batch."""
+    """One row per span: doc_id, h (64 bits of the text, for rows that share an id), lo, n, anchor, span, batch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -97,13 +97,13 @@ def span_table(docs: DataFrame, batches: int, id_col: str = "doc_id", text_col:
                 take = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((lo - starts[row] + off).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64))], names=["doc_id", "h", "lo", "n", "anchor", "span"])
 
-    out = keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, h int, lo int, n int, anchor long, span long")
+    out = keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, h long, lo int, n int, anchor long, span long")
     return out.withColumn("batch", F.pmod(F.hash("doc_id"), F.lit(batches)))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), mark_of(text).alias("h"), text.alias("text"))
 
 
 class SuffixFamily:
@@ -169,7 +169,7 @@ def _packed(rows: DataFrame, columns: list[str], dtype: np.dtype) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_merged(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "h", "list"])
 
-    return grouped.mapInArrow(run, "doc_id long, h int, list binary")
+    return grouped.mapInArrow(run, "doc_id long, h long, list binary")
 
 
 def _merged(rows: np.ndarray) -> bytes:
