@@ -273,6 +273,30 @@ def test_levels_merge_geometrically(spark):
     assert {(r["span"], r["copies"]) for r in family.repeats().collect()} == {(1, 5), (2, 5)}
 
 
+@pytest.mark.parametrize("hot", [1 << 18, 3])
+def test_a_hot_anchors_spans_are_dealt_into_parts(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "FEW_SPANS", 2)
+    monkeypatch.setattr(suffix, "HOT_ANCHORS", hot)
+    rng = random.Random(8)
+    rows = [(1, rng.randint(0, 400)) for _ in range(900)] + [(rng.randint(2, 300), rng.randint(0, 2)) for _ in range(500)] + [(1000, 7)]
+    family = suffix.SuffixFamily(spark)
+    for k in range(3):
+        family.add(spark.createDataFrame(rows[k::3], "anchor long, span long"))
+    copies, spans = Counter(rows), Counter(a for a, _ in set(rows))
+    want = {(a, s, c, spans[a]) for (a, s), c in copies.items() if c > 1 or spans[a] > 1}
+    got = [(r["anchor"], r["span"], r["copies"], r["spans"]) for r in family.repeats().collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_many_rows_without_an_id_keep_their_own_cuts(spark):
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    common = make(250)
+    rows = [(None, make(40) + common + make(k)) if k % 2 else (None, make(250 + k)) for k in range(60)]
+    got = Counter(tuple(r) for r in suffix.without_repeats(spark, frame(spark, rows), kept_bytes=False).collect())
+    assert got == kept_by_brute_force(rows, 200)
+
+
 # Near-duplicates
 
 

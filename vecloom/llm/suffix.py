@@ -37,6 +37,10 @@ PIECE = 1 << 22
 POSITION_BITS = np.uint64(24)
 #: Places to look at again, or spans to remove, are broadcast up to so many bytes; beyond that the texts are shuffled to them.
 BROADCAST_BYTES = 64 << 20
+#: Anchors with more different spans are compared window by window through a shuffle, not in one task.
+FEW_SPANS = 256
+#: At most so many anchors are dealt into parts.
+HOT_ANCHORS = 1 << 18
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -118,23 +122,41 @@ class SuffixFamily:
         """Sort a batch's entries, scan them against every level, and merge levels of one size."""
         run = entries.groupBy("anchor", "span").agg(F.count("*").alias("copies"))
         run = written(run.sortWithinPartitions("anchor", "span"), self.spark, "suffix-run")
-        self.found.append(run.groupBy("anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor"))
+        # One row an anchor, counted before the shuffle, on both sides of a scan.
+        own = run.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies"))
+        self.found.append(own.where("copies > 1").select("anchor", "rows"))
         for level in self.levels.values():
-            self.found.append(level.join(run, "anchor", "left_semi").select("anchor"))
+            there = level.groupBy("anchor").agg(F.count("*").alias("there"))
+            self.found.append(there.join(own, "anchor").select("anchor", (F.col("there") + F.col("rows")).alias("rows")))
         k = 0
         while k in self.levels:
             both = self.levels.pop(k).union(run).groupBy("anchor", "span").agg(F.sum("copies").alias("copies"))
             run, k = written(both.sortWithinPartitions("anchor", "span"), self.spark, f"suffix-level{k + 1}"), k + 1
-            self.found = [written(_union(self.found).distinct(), self.spark, "suffix-found")]
+            self.found = [written(self.shared(), self.spark, "suffix-found")]
         self.levels[k] = run
 
+    def shared(self) -> DataFrame:
+        """anchor, rows: the anchors that the scans found, and at least as many rows as they have in all levels."""
+        return _union(self.found).groupBy("anchor").agg(F.sum("rows").alias("rows"))
+
     def repeats(self) -> DataFrame:
-        """anchor, span, copies, spans (different ones at the anchor) for what may occur twice."""
-        shared = written(_union(self.found).distinct(), self.spark, "suffix-shared")
-        spans = _union(list(self.levels.values())).join(shared, "anchor", "left_semi").groupBy("anchor", "span").agg(F.sum("copies").alias("copies"))
+        """anchor, span, copies, spans (different ones at the anchor) for what may occur twice.
+
+        An anchor's rows are dealt into parts of about FEW_SPANS, or of 1 / HOT_ANCHORS of all rows if
+        that is more, so at most HOT_ANCHORS anchors have several parts, whatever the input, and only those are broadcast.
+        """
+        shared = written(self.shared(), self.spark, "suffix-shared")
+        limit = max(FEW_SPANS, -(-(shared.agg(F.sum("rows")).head()[0] or 0) // HOT_ANCHORS))
+        hot = F.broadcast(shared.where(F.col("rows") > limit).select("anchor", F.ceil(F.col("rows") / limit).alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        keys = shared.join(hot, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
+        dealt = _union(list(self.levels.values())).join(hot, "anchor", "left").select("anchor", F.pmod(F.xxhash64("span"), parts).cast("int").alias("part"), "span", "copies")
+        spans = dealt.join(keys, ["anchor", "part"], "left_semi").groupBy("anchor", "part", "span").agg(F.sum("copies").alias("copies"))
         spans = written(spans, self.spark, "suffix-spans")
-        sizes = spans.groupBy("anchor").agg(F.count("*").alias("spans"))
-        return written(spans.join(sizes, "anchor").where("copies > 1 or spans > 1"), self.spark, "suffix-repeats")
+        sizes = spans.groupBy("anchor", "part").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("anchor").agg(F.sum("n").alias("spans"), F.collect_list("part").alias("part"))
+        sizes = sizes.select("anchor", "spans", F.explode("part").alias("part"))
+        return written(spans.join(sizes, ["anchor", "part"]).where("copies > 1 or spans > 1").drop("part"), self.spark, "suffix-repeats")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -150,8 +172,6 @@ def _beside(docs: DataFrame, lists: DataFrame, spark: SparkSession, how: str) ->
     return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc_id", "h"], how)
 
 
-#: Anchors with more different spans are compared window by window through a shuffle, not in one task.
-FEW_SPANS = 256
 BLOCK = 8
 WHERE = np.dtype([("lo", "<i4"), ("n", "<i4"), ("anchor", "<i8"), ("span", "<i8"), ("spans", "<i8"), ("copies", "<i8")])
 
