@@ -366,6 +366,18 @@ def test_a_chain_of_1000_texts_is_one_component(spark):
     assert len(got) == 1000 and {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
 
 
+@pytest.mark.parametrize("few", [256, 3])
+def test_large_components_are_named_as_small_ones_are(spark, few, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW_ROWS", few)
+    rng = random.Random(12)
+    rows = [(bytes([k % 256, k // 256]), 1 if k < 300 else rng.randint(2, 60), rng.randint(-50, 10_000)) for k in range(500)]
+    least = defaultdict(lambda: 10**6)
+    for _, part, doc in rows:
+        least[part] = min(least[part], doc)
+    out = neardup.component_ids(spark, spark.createDataFrame(rows, "print binary, part long, doc_id long")).collect()
+    assert sorted((bytes(r["print"]), r["part"], r["component_id"]) for r in out) == sorted((p, part, least[part]) for p, part, _ in rows)
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     got = neardup.near_duplicates(spark, frame(spark, [(1, one), (1, two), (2, one + " z"), (3, two + " z"), (5, two + " y"), (5, "c " * 9)])).collect()

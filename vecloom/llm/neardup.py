@@ -39,6 +39,8 @@ MANTISSA = 10
 MARGIN, LEAST_FOR_ESTIMATE = 0.25, 256
 #: Ids of candidate texts are broadcast if they are at most so many.
 BROADCAST_IDS = 2_000_000
+#: At most so many components are broadcast, each of more than FEW_ROWS different sets.
+HOT_PARTS, FEW_ROWS = 1 << 18, 256
 #: A pivot's texts are compared in parts of about so many.
 SPLIT = 128
 
@@ -236,6 +238,18 @@ def links_left_open(spark: SparkSession, stars: DataFrame, labels: DataFrame, se
     return x.join(y, linked).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
+def component_ids(spark: SparkSession, placed: DataFrame) -> DataFrame:
+    """print, part, component_id: the smallest doc_id of each part, beside all its rows.
+
+    Parts of more than 1 / HOT_PARTS of all rows, at most HOT_PARTS of them, are broadcast, so their rows don't meet in a task.
+    """
+    names = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    names = written(names, spark, "near-names")
+    large = F.col("rows") > max(FEW_ROWS, -(-placed.count() // HOT_PARTS))
+    rows, hot = placed.select("print", "part"), F.broadcast(names.where(large).drop("rows"))
+    return rows.join(hot, "part").union(rows.join(hot, "part", "left_anti").join(names.drop("rows"), "part")).select("print", "part", "component_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, mark, part for each row: documents with 100 * shared >= percent * union are linked.
 
@@ -262,8 +276,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, id_
     if not more.isEmpty():
         labels = components(spark, links.union(more))
 
-    placed = classes.select("print", "rep", "doc_id").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", "doc_id", F.coalesce("component", "rep").alias("part"))
-    named = placed.select("print", "part").join(placed.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part")
+    placed = classes.select("print", "rep", "doc_id").join(labels.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left")
+    placed = written(placed, spark, "near-placed")
+    single = placed.where("part is null").select("print", F.col("rep").alias("part"), F.col("doc_id").alias("component_id"))
+    named = single.union(component_ids(spark, placed.where("part is not null")))
     out = some.select("doc_id", "n_shingles", "mark", "print").join(named, "print").select("doc_id", "n_shingles", "component_id", "mark", "part")
     # Rows without words, however many, don't meet in one key.
     alone = base.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("long").alias("part"))
