@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.vector import ieee_divide, ieee_power
 from vecloom.plans import provenance as prov
+from vecloom.sources.tables import fetched
 
 RANK = {"integer": 0, "float32": 1, "float64": 2}
 MOST_PRINTED = 100
@@ -81,10 +82,10 @@ class Tensor:
     def to_numpy(self) -> np.ndarray:
         """All cells on the driver, in the tensor's shape."""
         kind = {"integer": np.int32, "float32": np.float32, "float64": np.float64}[self.dtype]
-        got = self.cells.select(self._linear().alias("p"), "v").toPandas()
         flat = np.full(len(self), np.nan)
-        flat[got["p"].to_numpy(np.int64)] = got["v"].to_numpy(np.float64)
-        return flat.astype(kind).reshape(self.shape, order="F")
+        for p, v in fetched(self.cells.select(self._linear().alias("p"), F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))):
+            flat[p] = v
+        return flat.astype(kind, copy=False).reshape(self.shape, order="F")
 
     def as_matrix(self) -> np.ndarray:
         if self.rank > 2:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,7 @@ from vecloom.operators import cluster, embed, graph, linalg, neighbors
 from vecloom.operators.sparse import Sparse, sparse
 from vecloom.operators.tensor import Tensor, block_matmul, tensor_of_rows
 from vecloom.plans import provenance as prov
-from vecloom.sources.tables import rows_from_columns, rows_from_vectors, table
+from vecloom.sources.tables import CHUNK_ROWS, rows_from_columns, rows_from_vectors, sent, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,7 +164,9 @@ def tensor_metadata(spark, d):
 @query("tensor_to_host", f"WITH {X} SELECT id AS row_id, round(sum(v * c), 6) AS s FROM x GROUP BY id")
 def tensor_to_host(spark, d):
     host = matrix(spark, d).to_numpy()
-    return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(host @ np.arange(1, DIM + 1))], "row_id long, s double").withColumn("s", rounded("s"))
+    s = host @ np.arange(1.0, DIM + 1)
+    parts = (pa.table({"row_id": np.arange(a + 1, min(a + CHUNK_ROWS, len(s)) + 1), "s": s[a : a + CHUNK_ROWS]}) for a in range(0, len(s), CHUNK_ROWS))
+    return sent(spark, parts).withColumn("s", rounded("s"))
 
 
 @query("tensor_transfer", f"WITH {X} SELECT id AS i1, c AS i2, v FROM x")
@@ -329,7 +332,12 @@ def sparse_to_host(spark, d):
     """All columns in order on the driver."""
     x = triplets(spark, d)
     v, i, p = x.to_csc()
-    return spark.createDataFrame([(int(c) + 1, int(r) + 1, float(a)) for c, r, a in zip(np.repeat(np.arange(x.shape[1]), np.diff(p)), i, v)], "j long, i long, v double")
+
+    def part(a: int) -> pa.Table:
+        b = min(a + CHUNK_ROWS, len(v))
+        return pa.table({"j": np.searchsorted(p, np.arange(a, b), "right"), "i": i[a:b].astype(np.int64) + 1, "v": v[a:b]})
+
+    return sent(spark, map(part, range(0, max(len(v), 1), CHUNK_ROWS)))
 
 
 @query("sparse_to_dense", f"WITH {S} SELECT r AS i1, c AS i2, coalesce(v, 0.0) AS v FROM range(1, (SELECT max(i) + 1 FROM s)) a(r) CROSS JOIN range(1, (SELECT max(j) + 1 FROM s)) b(c) LEFT JOIN s ON s.i = r AND s.j = c")
