@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 from vecloom import queries
+from vecloom.operators.sparse import sparse
 from vecloom.operators.tensor import tensor
 
 
@@ -32,3 +33,16 @@ def test_tensors_come_in_parts(spark, parts_only, tmp_path):
     got = queries.QUERIES["tensor_to_host"](spark, str(tmp_path)).orderBy("row_id").collect()
     assert parts_only == [1, 1, 1]
     assert np.allclose([r["s"] for r in got], x @ np.arange(1, 65), atol=1e-6) and [r["row_id"] for r in got] == list(range(1, 8))
+
+
+def test_sparse_matrices_come_in_parts(spark, parts_only, tmp_path):
+    x = np.array([[0.0, 0, 3, 0], [1, 0, 0, 0], [4, 0, 5, 0], [0, 0, 0, 2]])
+    v, i, p = sparse(spark, x).to_csc()
+    assert v.tolist() == [1, 4, 3, 5, 2] and i.tolist() == [1, 2, 0, 2, 3] and p.tolist() == [0, 2, 2, 4, 5]
+    lines = [(int(a), int(b), float(x[a, b]) / 2) for a, b in zip(*np.nonzero(x)) for _ in range(2)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts_only.clear()
+    got = queries.QUERIES["sparse_to_host"](spark, str(tmp_path)).collect()
+    assert parts_only == [1, 1]
+    assert sorted(map(tuple, got)) == sorted((b + 1, a + 1, x[a, b]) for a, b in zip(*np.nonzero(x)))
+    assert not sparse(spark, np.zeros((2, 3))).to_csc()[2].any()

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from vecloom.operators.tensor import Tensor, _check_labels, _check_product, _product_labels, tensor
 from vecloom.plans import provenance as prov
+from vecloom.sources.tables import fetched
 
 
 @dataclass
@@ -61,9 +62,15 @@ class Sparse:
 
     def to_csc(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values, zero-based row indices and column pointers on the driver."""
-        got = self.entries.orderBy("j", "i").toPandas()
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(got["j"].to_numpy(int) - 1, minlength=self.shape[1]))])
-        return got["v"].to_numpy(float), got["i"].to_numpy(int) - 1, pointers
+        n, at = self.entries.count(), 0
+        values, rows = np.empty(n), np.empty(n, np.int32 if self.shape[0] < 2**31 else np.int64)
+        pointers = np.zeros(self.shape[1] + 1, np.int64)
+        for j, i, v in fetched(self.entries.orderBy("j", "i").select("j", "i", "v")):
+            values[at : at + len(v)], rows[at : at + len(v)] = v, i - 1
+            found, counts = np.unique(j, return_counts=True)
+            pointers[found] += counts
+            at += len(v)
+        return values, rows, np.cumsum(pointers, out=pointers)
 
     def to_numpy(self) -> np.ndarray:
         out = np.zeros(self.shape)
