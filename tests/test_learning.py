@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.operators import cluster, embed, graph, linalg, neighbors
 from vecloom.operators.sparse import sparse
@@ -245,3 +246,20 @@ def test_features_are_found_by_name():
     for columns, names in ((["a"], None), (None, ["a", "b"]), (["a", "c"], ["a", "b"]), (["a", "b", "b"], ["a", "b"])):
         with pytest.raises(ValueError):
             find(columns, names, 2)
+
+
+def test_rounded_neighbours_are_found_by_block(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    x[60:90] = x[0]
+    x[0:2] += [[0.005, 0, 0], [0.015, 0, 0]]
+    d = neighbors.distance(spark, rows(spark, x)).where("row_id <> col_id").withColumn("distance", F.round("distance", 2)).collect()
+    want = sorted(d, key=lambda r: (r["row_id"], r["distance"], r["col_id"]))
+    want = {i: [(r["col_id"], r["distance"]) for r in want if r["row_id"] == i][:7] for i in range(1, 151)}
+    for how in ("sql", "block"):
+        got = {}
+        for r in neighbors.knn(spark, rows(spark, x), 7, strategy=how, digits=2).rows.orderBy("row_id", "rank").collect():
+            got.setdefault(r["row_id"], []).append((r["neighbor_id"], r["distance"]))
+        assert got == want
+    half = np.array([0.005, 0.015, 1.005, 2.675, 0.0149999999, 0.0])
+    assert neighbors.rounded_as_sql(half, 2).tolist() == [r[0] for r in spark.createDataFrame([(float(v),) for v in half], "v double").select(F.round("v", 2)).collect()]

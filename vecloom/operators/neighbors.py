@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +113,10 @@ def _sql_distance(spark, x, y, metric, batch, own):
     return d.withColumn("distance", F.when(F.col("row_id") == F.col("col_id"), 0.0).otherwise(F.col("distance"))) if own else d
 
 
-def _sql_knn(spark, x, k, metric, batch):
+def _sql_knn(spark, x, k, metric, batch, digits=None):
     d = _sql_pairs(x, x, metric).where("row_id <> col_id")
+    if digits is not None:
+        d = d.withColumn("distance", F.round("distance", digits))
     rank = F.row_number().over(Window.partitionBy("row_id").orderBy("distance", "col_id"))
     return d.withColumn("rank", rank).where(F.col("rank") <= k).select("row_id", "rank", F.col("col_id").alias("neighbor_id"), "distance")
 
@@ -148,8 +151,19 @@ def top_k(distance: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tup
     return np.array(out_d), np.array(out_i)
 
 
-def _nearest_in_block(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each query, the exact k nearest rows of the block."""
+def rounded_as_sql(x: np.ndarray, digits: int) -> np.ndarray:
+    """x rounded half up on its decimal digits, as Spark's round; only values next to a half are looked at one by one."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    with np.errstate(invalid="ignore"):
+        near = np.isfinite(x) & (np.abs(scaled - np.floor(scaled) - 0.5) <= 1e-6 + 1e-14 * np.abs(scaled))
+    for i in np.flatnonzero(near):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _nearest_in_block(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, metric: str, digits: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query, the exact k nearest rows of the block, by (distance, id); with digits, by the distance rounded so."""
     pair = direct if metric == "euclidean" else cosine_direct
     centre = r.mean(axis=0) if np.isfinite(r.sum()) else np.zeros(r.shape[1])
     scale = max(float(np.abs(r - centre).max(initial=0)), float(np.abs(q - centre).max(initial=0)), np.finfo(float).tiny)
@@ -165,10 +179,15 @@ def _nearest_in_block(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np
             rough[ids[:, None] == r_ids[None]] = np.inf
             kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
             reach = kth + slack * (q2 + r2.max()) * 2
+            if digits is not None:  # whatever may round to the same
+                apart = 10.0**-digits if metric == "euclidean" else np.sqrt(2 * 10.0**-digits)
+                reach = (np.sqrt(np.maximum(reach, 0)) + apart / scale) ** 2 + slack * (q2 + r2.max()) * 2
             row, col = np.nonzero(rough <= reach[:, None])
         else:
             row, col = np.nonzero(ids[:, None] != r_ids[None])
         d = pair(q[a : a + 512][row], r[col])
+        if digits is not None:
+            d = rounded_as_sql(d, digits)
         order = np.lexsort((r_ids[col], d, row))
         row, col, d = row[order], col[order], d[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -210,11 +229,11 @@ def _by_block(batches: Iterator[pa.RecordBatch], each) -> Iterator[pa.RecordBatc
                 yield from each(part.column("row_id").to_numpy(), _vectors(part.column("features")), ids[0], rows[0])
 
 
-def _block_knn(spark, x, k, metric, batch):
+def _block_knn(spark, x, k, metric, batch, digits=None):
     n = x.count()
 
     def each(q_ids, q, r_ids, r):
-        for a, b, d in _nearest_in_block(q, q_ids, r, r_ids, k, metric):
+        for a, b, d in _nearest_in_block(q, q_ids, r, r_ids, k, metric, digits):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["row_id", "neighbor_id", "distance"])
 
     found = _cells(x, x, n).mapInArrow(lambda it: _by_block(it, each), "row_id long, neighbor_id long, distance double")
@@ -256,8 +275,8 @@ def distance(spark: SparkSession, x, y=None, metric: str = "euclidean", batch_si
     return call(chosen.strategy, "distance", spark, _metric(rows, metric), _metric(other, metric), metric, batch, y is None)
 
 
-def knn(spark: SparkSession, x, k: int = 15, metric: str = "euclidean", batch_size: int = 256, strategy: str = "auto") -> Knn:
-    """The exact k nearest other rows of each row, by (distance, row_id)."""
+def knn(spark: SparkSession, x, k: int = 15, metric: str = "euclidean", batch_size: int = 256, strategy: str = "auto", digits: int | None = None) -> Knn:
+    """The exact k nearest other rows of each row, by (distance, row_id); with digits, distances are rounded before they are compared."""
     batch, rows = _batch(batch_size), as_rows(x)
     n, p = check_matrix(rows, 2)
     if isinstance(k, bool) or not isinstance(k, (int, np.integer)) or not 1 <= k <= n - 1:
@@ -265,7 +284,7 @@ def knn(spark: SparkSession, x, k: int = 15, metric: str = "euclidean", batch_si
     chosen = select(strategy, "knn", n * n * p)
     from vecloom.plans.strategy import call
 
-    found = call(chosen.strategy, "knn", spark, _metric(rows, metric), int(k), metric, batch)
+    found = call(chosen.strategy, "knn", spark, _metric(rows, metric), int(k), metric, batch, **({} if digits is None else {"digits": digits}))
     stages = ({"sparse_to_dense": prov.stage(backend="sql")} if isinstance(x, Sparse) else {}) | {"distance": chosen.stage, "neighbor_selection": chosen.stage}
     return Knn(found, int(k), metric, stages)
 

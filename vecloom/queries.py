@@ -128,9 +128,11 @@ def distance_self_cosine(spark, d):
 
 @query("topk_stable_ties", f"WITH {P} SELECT q AS row_id, rk::INT AS rank, r AS neighbor_id, d AS distance FROM (SELECT q, r, round(d, 2) AS d, row_number() OVER (PARTITION BY q ORDER BY round(d, 2), r) AS rk FROM p) WHERE rk <= 7")
 def topk_stable_ties(spark, d):
-    pairs = neighbors.distance(spark, rows(spark, d)).where("row_id <> col_id").withColumn("distance", rounded("distance", 2))
-    rank = F.row_number().over(Window.partitionBy("row_id").orderBy("distance", "col_id"))
-    return pairs.withColumn("rank", rank).where("rank <= 7").select("row_id", "rank", F.col("col_id").alias("neighbor_id"), "distance")
+    given = rows(spark, d)
+    n = given.count()
+    if n < 2:
+        return spark.createDataFrame([], "row_id long, rank int, neighbor_id long, distance double")
+    return neighbors.knn(spark, given, min(7, n - 1), digits=2).rows
 
 
 @query("unit_rows", f"WITH {COSINE} SELECT id AS row_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM m")
