@@ -263,3 +263,34 @@ def test_rounded_neighbours_are_found_by_block(spark):
         assert got == want
     half = np.array([0.005, 0.015, 1.005, 2.675, 0.0149999999, 0.0])
     assert neighbors.rounded_as_sql(half, 2).tolist() == [r[0] for r in spark.createDataFrame([(float(v),) for v in half], "v double").select(F.round("v", 2)).collect()]
+
+
+def test_diffusion_works_by_blocks(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(90, 3))
+    x[10:30] = x[0]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    sigma = np.median(d[d > 0])
+    k = np.exp(-(d**2) / (2 * sigma**2)) * (1 - np.eye(90))
+    root = 1 / np.sqrt(k.sum(1))
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs were shuffled")
+
+    monkeypatch.setattr(embed, "normalized_kernel", refuse)
+    monkeypatch.setattr(neighbors, "_sql_distance", refuse)
+    monkeypatch.setattr(F, "median", refuse)
+    for bins, gathered in ((1 << 16, 1 << 20), (8, 16)):
+        monkeypatch.setattr(embed, "BINS", bins)
+        monkeypatch.setattr(embed, "GATHERED", gathered)
+        _, degree, found = embed.diffusion_kernel(spark, rows(spark, x))
+        assert np.isclose(found, sigma, rtol=1e-13)
+    assert np.allclose([r["degree"] for r in degree.orderBy("row_id").collect()], k.sum(1))
+    got = np.zeros((90, 90))
+    for r in embed.diffusion_matrix(spark, rows(spark, x)).collect():
+        got[r["row_id"] - 1, r["col_id"] - 1] = r["w"]
+    assert np.allclose(got, k * np.outer(root, root), atol=1e-12)
+    dense = embed.diffusion_map(spark, rows(spark, x), 2)
+    monkeypatch.setattr(embed, "DENSE_ROWS", 10)
+    steps = embed.diffusion_map(spark, rows(spark, x), 2)
+    a, b = (np.array([r["coord"] for r in m.coordinates.orderBy("row_id").collect()]) for m in (dense, steps))
+    assert np.allclose(np.abs(a), np.abs(b), atol=1e-7)
