@@ -46,3 +46,14 @@ def test_sparse_matrices_come_in_parts(spark, parts_only, tmp_path):
     assert parts_only == [1, 1]
     assert sorted(map(tuple, got)) == sorted((b + 1, a + 1, x[a, b]) for a, b in zip(*np.nonzero(x)))
     assert not sparse(spark, np.zeros((2, 3))).to_csc()[2].any()
+
+
+def test_dense_cells_are_not_joined(spark, monkeypatch):
+    from vecloom.operators import sparse as module
+
+    monkeypatch.setattr(module, "CELLS", 5)
+    x = np.zeros((6, 7))
+    x[1, 6], x[4, 0], x[4, 3], x[5, 2] = 1, 2, 3, 4
+    t = sparse(spark, x).to_tensor()
+    assert t.cells.count() == 42 and np.array_equal(t.to_numpy(), x)
+    assert "explode" not in t.cells._jdf.queryExecution().toString()
