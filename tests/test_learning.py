@@ -294,3 +294,23 @@ def test_diffusion_works_by_blocks(spark, monkeypatch):
     steps = embed.diffusion_map(spark, rows(spark, x), 2)
     a, b = (np.array([r["coord"] for r in m.coordinates.orderBy("row_id").collect()]) for m in (dense, steps))
     assert np.allclose(np.abs(a), np.abs(b), atol=1e-7)
+
+
+def test_tsne_holds_no_square_matrix(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a square matrix on the driver")
+
+    monkeypatch.setattr(embed, "_affinities", refuse)
+    monkeypatch.setattr(embed, "DENSE_ROWS", 30)
+    groups = np.concatenate([np.random.default_rng(1).normal(0, 0.1, (30, 4)), np.random.default_rng(2).normal(5, 0.1, (30, 4))])
+    y = np.array([r["coord"] for r in embed.tsne(spark, rows(spark, groups), perplexity=8, seed=1, iterations=200).coordinates.orderBy("row_id").collect()])
+    near = np.argsort(((y[:, None] - y[None]) ** 2).sum(-1) + np.eye(60) * 1e9, axis=1)[:, :3]
+    assert np.mean((near < 30) == (np.arange(60) < 30)[:, None]) > 0.95
+    diff = y[:, None] - y[None]
+    q = 1 / (1 + (diff**2).sum(-1)) * (1 - np.eye(60))
+    push, total = embed._repulsion(y)
+    assert np.allclose(push, (q[:, :, None] ** 2 * diff).sum(1)) and np.isclose(total, q.sum())
+    ids, places, p = embed._near_affinities(spark, rows(spark, groups), 60, 8)
+    full = np.zeros((60, 60))
+    full[np.arange(60)[:, None], places] = p
+    assert np.isclose(full.sum(), 0.5) and np.allclose(embed._attraction(y, places, p), ((full + full.T)[:, :, None] * (q[:, :, None] * diff)).sum(1))
