@@ -265,6 +265,32 @@ def test_rounded_neighbours_are_found_by_block(spark):
     assert neighbors.rounded_as_sql(half, 2).tolist() == [r[0] for r in spark.createDataFrame([(float(v),) for v in half], "v double").select(F.round("v", 2)).collect()]
 
 
+def test_pairs_of_blocks_come_from_one_copy_of_the_rows(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows were repeated for every block")
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(70, 3)), np.round(rng.normal(size=(50, 3)), 1)
+    x[20:30] = x[0]
+    x[31] = 3 * x[30]
+    monkeypatch.setattr(neighbors, "_cells", refuse)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "PAIRS", 40)
+    for metric in neighbors.METRICS:
+        for other in (None, rows(spark, y)):
+            for digits in (None, 2, 6):
+                made = [neighbors.distance(spark, rows(spark, x), other, metric, 7, how, digits) for how in ("sql", "block")]
+                want, got = ({(r["row_id"], r["col_id"]): r["distance"] for r in m.collect()} for m in made)
+                assert made[1].count() == len(got) == 70 * (70 if other is None else 50)
+                assert got == pytest.approx(want, abs=1e-12) if digits is None else got == want
+    plan = made[1]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    q, r = rng.normal(size=(40, 5)), rng.normal(size=(30, 5))
+    direct = np.array([[neighbors.cosine_direct(a, b) for b in r / 9] for a in q / 9])
+    for digits in (0, 3, 15):
+        assert neighbors._rounded_cosine(q / 9, r / 9, digits).ravel().tolist() == neighbors.rounded_as_sql(direct.ravel(), digits).tolist()
+
+
 def test_diffusion_works_by_blocks(spark, monkeypatch):
     x = np.random.default_rng(5).normal(size=(90, 3))
     x[10:30] = x[0]
