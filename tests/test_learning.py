@@ -322,6 +322,36 @@ def test_diffusion_works_by_blocks(spark, monkeypatch):
     assert np.allclose(np.abs(a), np.abs(b), atol=1e-7)
 
 
+def test_lanczos_passes_multiply_blocks_of_vectors(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    half = rng.normal(size=(20, 20))
+    whole = np.kron(np.eye(2), half + half.T) / 10  # each eigenvalue twice
+    i, j = np.nonzero(whole)
+    cells = spark.createDataFrame(pd.DataFrame({"row_id": i + 1, "col_id": j + 1, "w": whole[i, j]}), "row_id long, col_id long, w double").cache()
+    want = np.linalg.eigvalsh(whole)[::-1]
+    values, vectors = embed._lanczos(spark, cells, np.arange(1, 41), 4, 10)
+    assert np.allclose(values, want[:4], atol=1e-9) and np.allclose(whole @ vectors, vectors * values, atol=1e-8) and np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-9)
+
+    def multiply(v):
+        passes.append(v.shape)
+        return spark.createDataFrame(pd.DataFrame({"row_id": ids} | {f"y{c}": (a @ v)[:, c] for c in range(v.shape[1])}))
+
+    x = rng.normal(size=(400, 64))
+    a = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 256) * (1 - np.eye(400))
+    a /= np.sqrt(np.outer(a.sum(1), a.sum(1)))
+    ids, passes = np.arange(5, 405), []
+    want, planes = (m[..., ::-1][..., :4] for m in np.linalg.eigh(a))
+    values, vectors = embed._lanczos(spark, multiply, ids, 4, 10)
+    assert len(passes) <= 8 and passes[0] == (400, 32)
+    assert np.allclose(values, want, atol=1e-12) and np.allclose(np.abs(vectors), np.abs(planes), atol=1e-6)
+    monkeypatch.setattr(embed, "WIDTH", 6)  # the basis is cut to its leading vectors several times
+    monkeypatch.setattr(embed, "BASIS_VECTORS", 24)
+    values, vectors = embed._lanczos(spark, multiply, ids, 4, 3)
+    assert np.allclose(values, want, atol=1e-12) and np.allclose(np.abs(vectors), np.abs(planes), atol=1e-6)
+
+
 def test_tsne_holds_no_square_matrix(spark, monkeypatch):
     def refuse(*_):
         raise AssertionError("a square matrix on the driver")
