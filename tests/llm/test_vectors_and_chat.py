@@ -57,6 +57,16 @@ def test_codes_cut_and_recall_holds(spark, monkeypatch):
         assert np.mean([len(got[q] & set(brute(x, q))) / 10 for q in range(0, 4000, 20)]) >= 0.9
 
 
+def test_rows_that_codes_and_lists_do_not_tell_apart(spark):
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(4, 24))[np.arange(3000) % 4] + 1e-4 * rng.normal(size=(3000, 24))  # near copies share their codes
+    x = np.concatenate([near, 30 * rng.normal(size=(3000, 24))]).astype(np.float32)[rng.permutation(6000)]
+    got = {}
+    for r in ann.neighbours(spark, vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), every).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert all([got[q][r] for r in range(1, 11)] == brute(x, q) for q in range(0, 6000, 20))
+
+
 def test_queries_with_too_few_rows_are_widened(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(92)] + [(100 + i, rng.normal(size=4).tolist()) for i in range(10)] + [(500, [1.0]), (600, [2.0])]

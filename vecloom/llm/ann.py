@@ -6,8 +6,13 @@ many lists a query visits is measured on the same sample: as many as hold COVERA
 neighbours there. Lists are gathered into cells of about CELL_ROWS rows, and a longer list is
 dealt over several, so no task holds a hot list and a query travels once to a cell. In a cell a
 query's asymmetric distance table ranks the codes of the lists that it visits; only the best
-k * RERANK are compared on the vectors themselves, and the nearest k leave the cell. Queries
-that found fewer than k rows visit all lists.
+k * RERANK are compared on the vectors themselves, and the nearest k leave the cell. An exact check
+follows: how well codes and lists tell rows apart depends on the rows (many near copies of a few
+vectors share their codes, groups of other scales or outside the sample have no list of their own),
+so each query goes once more to every list that, by its centre and its largest radius, may hold a row
+as near as the k-th found, and all such rows are compared. Queries that found fewer than k rows go to
+all lists. The answers are thus the nearest of all rows. Where radii rule out no list, the check
+multiplies each query with all rows.
 
 Distances of codes come apart into |q - c|^2, a number kept with each code and the products of q
 with the codewords, so one table a query serves all lists.
@@ -148,10 +153,11 @@ def _of_length(spark: SparkSession, vectors: DataFrame, dim: int, total: int, is
             if batch.num_rows:
                 x = _matrix(batch.column("v"), dim)
                 at, codes, beside = index.encode(x.astype(float))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(x), pa.array(at.astype(np.int32)), _packed(codes), pa.array(beside), batch.column("same")], names=["id", "v", "list", "code", "beside", "same"])
+                away = np.sqrt(((x - index.centres[at]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(x), pa.array(at.astype(np.int32)), _packed(codes), pa.array(beside), batch.column("same"), pa.array(away)], names=["id", "v", "list", "code", "beside", "same", "away"])
 
     same = vectors.withColumn("same", F.xxhash64("v"))
-    coded = written(same.mapInArrow(assign, "id long, v binary, list int, code binary, beside double, same long"), spark, "ann-coded")
+    coded = written(same.mapInArrow(assign, "id long, v binary, list int, code binary, beside double, same long, away double"), spark, "ann-coded")
     sizes = np.ones(lists, int)
     for r in coded.groupBy("list").count().collect():  # one row for each list
         sizes[r["list"]] = max(1, -(-r["count"] // CELL_ROWS))
@@ -189,18 +195,45 @@ def _of_length(spark: SparkSession, vectors: DataFrame, dim: int, total: int, is
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), spark, "ann-found")
 
-    visits = min(lists, visits or index.visits)
-    found = searched(queries, visits)
-    if visits == lists:
-        return found
-    enough = found.where(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("id"))
-    few = written(queries.join(enough, "id", "left_anti"), spark, "ann-few")
-    if few.isEmpty():
-        return found
-    return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*found.columns).union(searched(few, lists))
+    reach = np.full(lists, -np.inf)  # of lists without rows
+    for r in coded.groupBy("list").agg(F.max("away").alias("away")).collect():
+        reach[r["list"]] = r["away"]
 
+    def checked(found: DataFrame) -> DataFrame:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each query once for every cell that holds a part of a list which its k-th distance reaches."""
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    q, upto = _unpacked(part.column("v"), kind).astype(float), part.column("beside").to_numpy()
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        away = np.sqrt(np.stack([((index.centres - own) ** 2).sum(axis=1) for own in q]))
+                        asks = ~(away - reach > upto[:, None] + 1e-9 * (away + np.where(np.isfinite(reach), reach, 0)))
+                    asks[:, reach == -np.inf] = False
+                    row, cell, salt = [], [], []
+                    for s in range(int(sizes.max())):
+                        for c in range(cells):
+                            there = np.flatnonzero((np.arange(lists) % cells == c) & (sizes > s))
+                            to = np.flatnonzero(asks[:, there].any(axis=1))
+                            row.append(to)
+                            cell.append(np.full(len(to), c, np.int32))
+                            salt.append(np.full(len(to), s, np.int32))
+                    take = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell)), pa.array(np.concatenate(salt)), part.column("id").take(take), part.column("v").take(take), part.column("beside").take(take)], names=["cell", "salt", "id", "v", "beside"])
+
+        kth = found.where(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("id"), "score")
+        bounded = queries.join(kth, "id", "left").select("id", "v", F.coalesce("score", F.lit(float("inf"))).alias("beside"))
+        none = F.lit(None)
+        asked = bounded.mapInArrow(send, "cell int, salt int, id long, v binary, beside double").select("cell", "salt", F.lit(1).alias("asks"), "id", "v", none.cast("int").alias("list"), none.cast("binary").alias("code"), "beside", none.cast("long").alias("same"))
+        dealt = held.withColumn("code", none.cast("binary")).union(asked).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "asks", "id")
+        best = dealt.mapInArrow(lambda batches: _search(index, batches, kind, k, True), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), spark, "ann-checked")
 
-def _search(index: Index, batches: Iterator[pa.RecordBatch], kind: type, k: int) -> Iterator[pa.RecordBatch]:
+    return checked(searched(queries, min(lists, visits or index.visits)))
+
+
+def _search(index: Index, batches: Iterator[pa.RecordBatch], kind: type, k: int, check: bool = False) -> Iterator[pa.RecordBatch]:
     """Cells come sorted, their rows before their queries: a cell's rows are held while its queries pass."""
     at, held, cell = None, [], None
     for batch in batches:
@@ -215,7 +248,7 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch], kind: type, k: int)
                 held.append(batch.slice(a, b - a))
             elif held:
                 cell = cell or _Cell(index, pa.Table.from_batches(held).combine_chunks(), kind, k)
-                yield from cell.answers(batch.slice(a, b - a))
+                yield from (cell.within if check else cell.answers)(batch.slice(a, b - a))
 
 
 class _Cell:
@@ -231,7 +264,8 @@ class _Cell:
         order = order[np.argsort(at[order], kind="stable")]
         take = pa.array(order)
         self.ids, self.at, self.beside = ids[order], at[order], rows.column("beside").to_numpy()[order]
-        self.codes = np.ascontiguousarray(_unpacked(rows.column("code").take(take).combine_chunks(), np.uint8).T)
+        codes = rows.column("code")
+        self.codes = None if codes.null_count else np.ascontiguousarray(_unpacked(codes.take(take).combine_chunks(), np.uint8).T)
         self.x = _unpacked(rows.column("v").take(take).combine_chunks(), kind)
 
     def answers(self, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -260,6 +294,38 @@ class _Cell:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
 
 
+    def within(self, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of each query the nearest k rows that are as near as its k-th so far; a product rules rows out, direct differences decide."""
+        ids, upto = asked.column("id").to_numpy(), asked.column("beside").to_numpy()
+        q = _unpacked(asked.column("v"), self.kind).astype(float)
+        x = self.x.astype(float)
+        with np.errstate(invalid="ignore", over="ignore"):
+            middle = x.mean(axis=0)
+            x -= middle
+            x2, slack = (x**2).sum(axis=1), 64 * np.finfo(float).eps * (x.shape[1] + 4)
+            out_q, out_v, out_s = [], [], []
+            step = max(1, (1 << 21) // len(x))
+            for a in range(0, len(q), step):
+                part = q[a : a + step] - middle
+                q2 = (part**2).sum(axis=1)
+                rough = q2[:, None] + x2 - 2 * part @ x.T
+                allowed = slack * (q2 + x2.max())
+                rough[ids[a : a + step, None] == self.ids] = np.inf
+                if self.k < len(x):  # with no k-th so far, or a far one, that of this cell
+                    near = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + 2 * allowed
+                    limit = np.fmin(upto[a : a + step] ** 2 * (1 + 1e-9) + allowed, near)
+                else:
+                    limit = upto[a : a + step] ** 2 * (1 + 1e-9) + allowed
+                for i, own in enumerate(~(rough > limit[:, None])):
+                    rows = np.flatnonzero(own & (self.ids != ids[a + i]))
+                    exact = np.sqrt(((self.x[rows].astype(float) - q[a + i]) ** 2).sum(axis=1))
+                    best = np.lexsort((self.ids[rows], exact))[: self.k]
+                    out_q.append(np.full(len(best), ids[a + i]))
+                    out_v.append(self.ids[rows][best])
+                    out_s.append(exact[best])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
