@@ -322,6 +322,29 @@ def test_diffusion_works_by_blocks(spark, monkeypatch):
     assert np.allclose(np.abs(a), np.abs(b), atol=1e-7)
 
 
+def test_a_kernel_pass_works_out_each_pair_once(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(300, 5))
+    x[40:60] = x[0]
+    x[70] *= 1e4
+    monkeypatch.setattr(embed, "KERNEL_ROWS", 64)
+    monkeypatch.setattr(embed, "CHUNK", 1000)
+    pairs = embed._pairs(rows(spark, x), 300)
+    count = lambda same, q_ids, q, r_ids, r: [[np.array([sum(np.isfinite(d).sum() for d in embed._distance_blocks(same, q_ids, q, r_ids, r, "euclidean"))])]]
+    assert embed._over_pairs(pairs, count, "n long").agg(F.sum("n")).head()[0] == 300 * 299 / 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for guess in (20, 2048):  # the median of a few rows' pairs may lie elsewhere
+        monkeypatch.setattr(embed, "GUESS_ROWS", guess)
+        assert np.isclose(embed._median_distance(pairs, rows(spark, x), 300, "euclidean", 1e6), np.median(d[d > 0]), rtol=1e-12)
+    ones = lambda ids: np.ones((len(ids), 1))
+    for sigma in (3.0, 1e-3):
+        k = np.exp(-((d / sigma) ** 2) / 2) * (1 - np.eye(300))
+        got = embed._multiplied(pairs, "euclidean", sigma, lambda ids: np.stack([ids, ids**0.5], 1), ones, ["a", "b"]).orderBy("row_id").collect()
+        i = np.arange(1, 301)
+        assert np.allclose([[r["a"], r["b"]] for r in got], k @ np.stack([i, i**0.5], 1), rtol=1e-9)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
 def test_lanczos_passes_multiply_blocks_of_vectors(spark, monkeypatch):
     import pandas as pd
 
