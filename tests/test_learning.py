@@ -393,3 +393,23 @@ def test_tsne_holds_no_square_matrix(spark, monkeypatch):
     full = np.zeros((60, 60))
     full[np.arange(60)[:, None], places] = p
     assert np.isclose(full.sum(), 0.5) and np.allclose(embed._attraction(y, places, p), ((full + full.T)[:, :, None] * (q[:, :, None] * diff)).sum(1))
+
+
+def test_tsne_reads_repulsion_from_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for scale, columns, most in ((1e-4, 2, 1e-9), (1, 2, 1e-3), (20, 2, 0.02), (20, 1, 0.02)):
+        y = scale * rng.normal(size=(2500, columns)) + 5
+        (push, total), (want, whole) = embed._grid_repulsion(y), embed._repulsion(y)
+        assert np.linalg.norm(push - want) <= most * np.linalg.norm(want) and np.isclose(total, whole, rtol=most)
+    assert np.allclose(embed._grid_repulsion(np.ones((9, 2)))[0], 0)
+
+    def refuse(*_):
+        raise AssertionError("all pairs on the driver")
+
+    monkeypatch.setattr(embed, "_repulsion", refuse)
+    monkeypatch.setattr(embed, "DENSE_ROWS", 30)
+    monkeypatch.setattr(embed, "GRID_ROWS", 40)
+    groups = np.concatenate([np.random.default_rng(1).normal(0, 0.1, (30, 4)), np.random.default_rng(2).normal(5, 0.1, (30, 4))])
+    y = np.array([r["coord"] for r in embed.tsne(spark, rows(spark, groups), perplexity=8, seed=1, iterations=200).coordinates.orderBy("row_id").collect()])
+    near = np.argsort(((y[:, None] - y[None]) ** 2).sum(-1) + np.eye(60) * 1e9, axis=1)[:, :3]
+    assert np.mean((near < 30) == (np.arange(60) < 30)[:, None]) > 0.95
